@@ -59,12 +59,30 @@ def fetch(requests: DataFrame, pages: DataFrame, missing: str = "fail") -> DataF
     Adds ``status_code, html, content_type, response_url, error``. A request without a page is a
     404 (``fail``) or an empty page with status 200 (``empty``).
     """
+    return fetch_known(
+        requests, requests.join(pages.select("url"), "url", "left_anti"), pages, missing)
+
+
+def fetch_known(requests: DataFrame, absent: DataFrame, pages: DataFrame, missing: str) -> DataFrame:
+    """As :func:`fetch`, where the requests without a page are known already."""
     columns = [*requests.columns, "status_code", "html", "content_type", "response_url", "error"]
-    absent = requests.join(pages.select("url"), "url", "left_anti")
     return _hits(requests, pages).select(columns).unionByName(
         _misses(absent, missing).select(columns))
 
 
+def with_state(requests: DataFrame, pages: DataFrame, missing: str) -> DataFrame:
+    """Tell for each request whether a page exists (``found``) and what fails it
+    (``fetch_error``), without reading page texts. Only the distinct addresses meet the pages."""
+    addresses = requests.select("url").distinct()
+    states = pages.select("url", "status_code", "error").join(addresses, "url").select(
+        "url", response_error(F.col("url")).alias("fetch_error"), F.lit(True).alias("found"))
+    joined = requests.join(states, "url", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    if missing == "fail":
+        joined = joined.withColumn("fetch_error", F.when(
+            F.col("found"), F.col("fetch_error")).otherwise(http_error(F.lit(404), F.col("url"))))
+    return joined
+
+
 def expand_level(frontier: DataFrame, links: DataFrame) -> DataFrame:
     """One link level: each frontier address is replaced by its links, in order.
 
@@ -112,24 +130,20 @@ def paginate(starts: DataFrame, next_links: DataFrame, max_pages: int | None = N
     return walked
 
 
-def link_facts(keys: DataFrame, pages: DataFrame, missing: str) -> DataFrame:
+def link_facts(keys: DataFrame, pages: DataFrame) -> DataFrame:
     """What the listing pages hold: ``url, link_selector, next_selector, links, next_url, error``.
 
     Each (page, selectors) is parsed once, whatever number of tasks asks for it. The page text
-    ends here: later steps join these narrow rows.
+    ends here: later steps join these narrow rows. Keys without a page give no row.
     """
     fetched = _hits(keys, pages).withColumn(
         "m", match_page(F.col("html"), F.array("link_selector", "next_selector")))
     links = page_links(F.col("url"), F.col("m")[0]["hrefs"])
-    found = cut_lineage(fetched.select(
+    return fetched.select(
         *LINK_KEY, links.alias("links"), page_next(F.col("url"), F.col("m")[1]).alias("next_url"),
         F.coalesce("error", F.col("m")[0]["error"], F.col("m")[1]["error"]).alias("error"),
     ).withColumn("error", F.coalesce("error", F.when(
-        F.exists("links", lambda link: link.isNull()), F.lit("unusable link address")))))
-    absent = _misses(keys.join(found, LINK_KEY, "left_anti"), missing)
-    return found.unionByName(absent.select(
-        *LINK_KEY, F.array().cast("array<string>").alias("links"),
-        F.lit(None).cast("string").alias("next_url"), "error"))
+        F.exists("links", lambda link: link.isNull()), F.lit("unusable link address"))))
 
 
 class _Pieces:
@@ -164,8 +178,14 @@ def walk_listings(starts: DataFrame, pages: DataFrame, missing: str) -> tuple[Da
         keys = front.select(*LINK_KEY).distinct()
         if facts.parts:
             keys = keys.join(facts.all(), LINK_KEY, "left_anti")
-        known = facts.add(cut_lineage(link_facts(cut_lineage(keys), pages, missing)))
-        here = cut_lineage(front.join(known.drop("links"), LINK_KEY))
+        known = facts.add(cut_lineage(link_facts(keys, pages)))
+        found = known.drop("links").withColumn("found", F.lit(True))
+        here = front.join(found, LINK_KEY, "left")
+        if missing == "fail":
+            here = here.withColumn("error", F.when(
+                F.col("found").isNull(), http_error(F.lit(404), F.col("url")))
+                .otherwise(F.col("error")))
+        here = cut_lineage(here.drop("found"))
         seen = visits.add(here)
         onward = (
             here.filter("error IS NULL AND next_url IS NOT NULL "
@@ -235,8 +255,9 @@ def collect_items(*items: DataFrame) -> DataFrame:
 def claim_requests(requests: DataFrame) -> DataFrame:
     """Which task fetches which address, as if tasks ran one after the other by ``task_ord``.
 
-    ``requests``: task columns, ``order_key, key, fetch_limit, weight, dedup_enabled``, each key
-    once per task where de-duplication is on, and nothing behind a task's first failing address.
+    ``requests`` (a stored table): task columns, ``order_key, key, fetch_limit, weight,
+    dedup_enabled``, each key once per task where de-duplication is on, and nothing behind a
+    task's first failing address.
 
     In rounds: every task proposes its first requests within its limit; a key belongs to the
     lowest task proposing it; every request of a higher task for such a key is rejected, whether
@@ -246,12 +267,12 @@ def claim_requests(requests: DataFrame) -> DataFrame:
     bounded = not requests.filter("fetch_limit IS NOT NULL").isEmpty()
     contested = bounded and not requests.filter(
         "dedup_enabled AND fetch_limit IS NOT NULL").isEmpty()
-    live = cut_lineage(requests)
-    size = live.count()
+    live, size = requests, requests.count()
     while True:
         proposed = live
         if bounded:
-            counted = OrderedGroups(live.filter("fetch_limit IS NOT NULL"), TASK, ["order_key"])
+            counted = OrderedGroups(
+                live.filter("fetch_limit IS NOT NULL"), TASK, ["order_key"], written=True)
             counted = counted.running("_until", F.col("weight").cast("long")).frame()
             proposed = cut_lineage(live.filter("fetch_limit IS NULL").unionByName(
                 counted.filter("_until - weight < fetch_limit").drop("_until")))

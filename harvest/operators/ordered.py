@@ -21,8 +21,8 @@ class OrderedGroups:
     both must be non-null column names."""
 
     def __init__(self, df: DataFrame, group: list[str], order: list[str],
-                 rows_in_one_task: int = ROWS_IN_ONE_TASK):
-        rows = cut_lineage(df)
+                 rows_in_one_task: int = ROWS_IN_ONE_TASK, written: bool = False):
+        rows = df if written else cut_lineage(df)      # ``written``: already a stored table
         largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
         self.group, self.order, self.spread = group, order, largest > rows_in_one_task
         if self.spread:

@@ -12,7 +12,7 @@ from harvest.functions.page import match_page
 from harvest.functions.text import url_key
 from harvest.operators.extract import custom_items, selected_items, with_item_id
 from harvest.operators.frontier import (
-    TASK, claim_requests, expand_level, fetch, union_frontiers, walk_listings)
+    TASK, claim_requests, fetch_known, union_frontiers, walk_listings, with_state)
 from harvest.operators.ordered import OrderedGroups
 from harvest.operators.outcome import run_summary, task_outcome
 from harvest.session import cut_lineage
@@ -84,6 +84,15 @@ def _candidates(tasks: DataFrame, pages: DataFrame, missing: str) -> tuple[DataF
     return ready.join(failures.select(*TASK), TASK, "left_anti"), failures
 
 
+def _fetched(requests: DataFrame, tasks: DataFrame, pages: DataFrame, missing: str) -> DataFrame:
+    """Pages of the chosen requests, with what extraction needs from their tasks."""
+    asked = requests.select(*TASK, "order_key", "url", "found").join(tasks.select(
+        *TASK, "task_id", "source_id", "line_id", "line_name",
+        "title_selector", "time_selector", "content_selector"), TASK)
+    return fetch_known(
+        asked.filter("found").drop("found"), asked.filter("NOT found").drop("found"), pages, missing)
+
+
 def crawl(
     tasks: DataFrame, pages: DataFrame, missing: str = "fail",
     extractor: Callable | None = None, dedup_key: Callable[[Column], Column] = url_key,
@@ -103,32 +112,23 @@ def crawl(
     rest = [c for c in wanted.columns if c not in (*TASK, "key", "order_key")]
     once = wanted.filter("dedup_enabled").groupBy(*TASK, "key").agg(
         F.min(F.struct("order_key", *rest)).alias("first")).select(*TASK, "key", "first.*")
-    wanted = cut_lineage(once.unionByName(wanted.filter("NOT dedup_enabled")))
-
+    wanted = once.unionByName(wanted.filter("NOT dedup_enabled").select(once.columns))
     # success or failure of every address, without reading page texts
-    addresses = cut_lineage(wanted.select("url").distinct())
-    states = fetch(addresses, pages, missing).select("url", F.col("error").alias("fetch_error"))
-    if extractor is None:
-        weights = states.withColumn("weight", F.lit(1).cast("long"))
-    else:
-        # a record count per (task, address) exists only once the extractor has run
-        weights = states
-    wanted = cut_lineage(wanted.join(weights, "url"))
+    wanted = cut_lineage(with_state(wanted, pages, missing).withColumn("weight", F.lit(1).cast("long")))
 
     if extractor is not None:
         good = wanted.filter("fetch_error IS NULL").drop("fetch_error")
-        made = fetch(good.join(
-            tasks.select(*TASK, "task_id", "source_id", "line_id", "line_name"), TASK), pages, missing)
+        # how many records an address gives is known only once the extractor has run
+        made = _fetched(good, tasks, pages, missing)
         records = cut_lineage(custom_items(made.withColumn("request_url", F.col("url")), extractor))
         counts = records.groupBy(*TASK, "order_key").agg(F.count("*").alias("weight"))
-        wanted = cut_lineage(
-            wanted.join(counts, [*TASK, "order_key"], "left").fillna(0, ["weight"]))
+        wanted = cut_lineage(wanted.drop("weight").join(
+            counts, [*TASK, "order_key"], "left").fillna(0, ["weight"]))
 
     stops = (
         wanted.filter("fetch_error IS NOT NULL").groupBy(*TASK)
         .agg(F.min(F.struct("order_key", "fetch_error")).alias("stop"))
         .select(*TASK, F.col("stop.order_key").alias("stop_at"), F.col("stop.fetch_error").alias("stop_error")))
-    stops = cut_lineage(stops)
     # a direct request is made whatever its limit; a task that cannot extract stops at its first
     allowed = (
         F.when(F.col("selector_error").isNotNull() & ~((F.col("levels") > 0) & (F.coalesce(
@@ -138,7 +138,7 @@ def crawl(
         wanted.join(stops.select(*TASK, "stop_at"), TASK, "left")
         .filter("stop_at IS NULL OR order_key < stop_at")
         .withColumn("fetch_limit", allowed).drop("stop_at", "fetch_error"))
-    claims = cut_lineage(claim_requests(before_stop))
+    claims = cut_lineage(claim_requests(cut_lineage(before_stop)))
 
     used = claims.groupBy(*TASK).agg(F.sum("weight").alias("records"), F.count("*").alias("requests"))
     stopped = (
@@ -160,10 +160,7 @@ def crawl(
     if extractor is None:
         good = cut_lineage(good.filter("levels > 0 OR max_items IS NULL OR max_items > 0"))
         made = good.groupBy(*TASK).agg(F.count("*").alias("item_count"))
-        requests = good.select(*TASK, "order_key", "url").join(tasks.select(
-            *TASK, "task_id", "source_id", "line_id", "line_name",
-            "title_selector", "time_selector", "content_selector"), TASK)
-        items = selected_items(fetch(requests, pages, missing).withColumn("request_url", F.col("url")))
+        items = selected_items(_fetched(good, tasks, pages, missing))
         items = with_item_id(items, "crawl_id", "task_id", "order_key")
     else:
         records = records.join(good.select(*TASK, "order_key"), [*TASK, "order_key"], "left_semi")
