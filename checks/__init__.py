@@ -1,0 +1,6 @@
+"""Registered queries over the given tables and the SQL that checks them."""
+
+from checks.registry import QUERIES, SQL
+from checks import config_checks, page_checks, site_checks, table_checks  # noqa: F401,E402
+
+__all__ = ["QUERIES", "SQL"]

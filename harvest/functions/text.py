@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -86,17 +87,13 @@ def record_id(*parts: Column) -> Column:
 
 def merge_maps(*maps: Column) -> Column:
     """Key-wise merge, later maps win; null maps count as empty."""
-    merged = None
-    for one in maps:
-        one = F.coalesce(one, F.create_map().cast("map<string,string>"))
-        if merged is None:
-            merged = one
-            continue
-        # an explicit filter keeps the result independent of the session's duplicate-key policy
-        later = one
-        merged = F.map_concat(
-            F.map_filter(merged, lambda k, v, later=later: ~F.map_contains_key(later, k)), later)
-    return merged
+    def overlaid(first: Column, later: Column) -> Column:
+        # the filter keeps the result independent of the session's duplicate-key policy
+        kept = F.map_filter(first, lambda key, value: ~F.map_contains_key(later, key))
+        return F.map_concat(kept, later)
+
+    empty = F.create_map().cast("map<string,string>")
+    return reduce(overlaid, [F.coalesce(one, empty) for one in maps])
 
 
 def site_slug(name: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,18 +14,10 @@ from harvest.operators.frontier import (
     TASK, claim_requests, fetch_known, union_frontiers, walk_listings, with_state)
 from harvest.operators.ordered import OrderedGroups
 from harvest.operators.outcome import run_summary, task_outcome
+from harvest.plans.results import CrawlResult
 from harvest.session import cut_lineage
 
 
-@dataclass
-class CrawlResult:
-    """``items`` of the tasks that succeeded, one row per task, one row per run."""
-
-    items: DataFrame
-    tasks: DataFrame
-    runs: DataFrame
-
-
 def _prepared(tasks: DataFrame) -> DataFrame:
     """Task rows with flat extractor columns and what can be told before any fetch."""
     x = F.col("extractors")
@@ -167,7 +158,9 @@ def crawl(
         records = records.withColumn("order_key", F.concat("order_key", F.array("record_no")))
         placed = OrderedGroups(records, TASK, ["order_key"]).running(
             "_place", F.lit(1).cast("long")).frame()
-        items = cut_lineage(placed.filter("max_items IS NULL OR _place <= max_items"))
+        limits = tasks.select(*TASK, "max_items")
+        items = cut_lineage(placed.join(limits, TASK).filter(
+            "max_items IS NULL OR _place <= max_items"))
         made = items.groupBy(*TASK).agg(F.count("*").alias("item_count"))
         items = with_item_id(items, "crawl_id", "task_id", "order_key").select(
             "line_id", "source_id", "url", "title", "content", "content_type", "status_code",
