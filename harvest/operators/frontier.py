@@ -21,6 +21,9 @@ from harvest.session import cut_lineage
 TASK = ["crawl_id", "task_ord"]
 LINK_KEY = ["url", "link_selector", "next_selector"]
 _UNIONS_BEFORE_REWRITE = 16
+# A parse of all pages costs about as much as this many passes that only look pages up.
+PAGE_ROUNDS = 16
+SELECTORS_PER_SITE = 8
 
 
 def http_error(status: Column, url: Column) -> Column:
@@ -131,12 +134,17 @@ def paginate(starts: DataFrame, next_links: DataFrame, max_pages: int | None = N
 
 
 def link_facts(keys: DataFrame, pages: DataFrame) -> DataFrame:
+    """Facts of the asked (page, selectors); keys without a page give no row."""
+    return facts_of(pages.join(keys, "url"))
+
+
+def facts_of(keyed_pages: DataFrame) -> DataFrame:
     """What the listing pages hold: ``url, link_selector, next_selector, links, next_url, error``.
 
     Each (page, selectors) is parsed once, whatever number of tasks asks for it. The page text
-    ends here: later steps join these narrow rows. Keys without a page give no row.
+    ends here: later steps join these narrow rows.
     """
-    fetched = _hits(keys, pages).withColumn(
+    fetched = keyed_pages.withColumn("error", response_error(F.col("url"))).withColumn(
         "m", match_page(F.col("html"), F.array("link_selector", "next_selector")))
     links = page_links(F.col("url"), F.col("m")[0]["hrefs"])
     return fetched.select(
@@ -162,39 +170,109 @@ class _Pieces:
         return reduce(DataFrame.unionByName, self.parts)
 
 
-def walk_listings(starts: DataFrame, pages: DataFrame, missing: str) -> tuple[DataFrame, DataFrame]:
-    """Follow next-page links from every start, fetching only pages a walk reaches.
+def site_of(url: Column) -> Column:
+    """Scheme, host and port of an address; empty for anything else."""
+    return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", 0)
+
+
+def site_facts(front: DataFrame, known: DataFrame, pages: DataFrame) -> DataFrame:
+    """Facts of all pages on the sites the walks stand on, read in one pass.
+
+    Sites whose walks use more than ``SELECTORS_PER_SITE`` pairs of selectors are left out; their
+    walks go on page by page.
+    """
+    pair = ["link_selector", "next_selector"]
+    asked = front.select(site_of(F.col("url")).alias("_site"), *pair).distinct().filter("_site <> ''")
+    few = asked.groupBy("_site").count().filter(F.col("count") <= SELECTORS_PER_SITE).select("_site")
+    asked = cut_lineage(asked.join(few, "_site", "left_semi"))
+    keyed = pages.withColumn("_site", site_of(F.col("url"))).join(asked, "_site").drop("_site")
+    return facts_of(keyed).join(known, LINK_KEY, "left_anti")
+
+
+def walk_known(front: DataFrame, known: DataFrame) -> DataFrame:
+    """All pages the walks reach over known facts, the standing pages included.
+
+    The same doubling as in :func:`paginate`, with a limit per walk.
+    """
+    start = [*TASK, "order_key"]
+    pair = ["link_selector", "next_selector"]
+    jumps = known.filter("error IS NULL AND next_url IS NOT NULL").select(
+        *pair, F.col("url").alias("at"), F.col("next_url").alias("to"))
+    walked, size, reach = front, front.count(), 1
+    while True:
+        step = [walked[c] == jumps[c] for c in pair] + [walked["url"] == jumps["at"]]
+        further = walked.join(jumps, step).select(
+            *[walked[c] for c in (*start, *pair, "max_pages")],
+            (F.col("page_no") + reach).alias("page_no"), F.col("to").alias("url"),
+        ).filter("max_pages IS NULL OR page_no < max_pages")
+        walked = cut_lineage(
+            walked.unionByName(further).groupBy(*start, "url").agg(
+                F.min("page_no").alias("page_no"), *[F.first(c).alias(c) for c in (*pair, "max_pages")]))
+        grown = walked.count()
+        if grown == size:
+            return walked
+        size, reach = grown, reach * 2
+        onward = jumps.select(*pair, F.col("at").alias("to"), F.col("to").alias("then"))
+        jumps = cut_lineage(jumps.join(onward, [*pair, "to"]).select(*pair, "at", F.col("then").alias("to")))
+
+
+def walk_listings(
+    starts: DataFrame, pages: DataFrame, missing: str, page_rounds: int = PAGE_ROUNDS,
+) -> tuple[DataFrame, DataFrame]:
+    """Follow next-page links from every start.
 
     ``starts``: task columns, ``order_key, url, link_selector, next_selector, max_pages``.
     Returns the visits (start columns, ``page_no, url, error``) and the facts of the pages.
+
+    Each round answers the pages the walks stand on, which costs a pass over the stored pages.
+    Most walks end within a few rounds. Walks still going after ``page_rounds`` are long: then one
+    pass reads the facts of their whole sites, and the walks run over those by doubling jumps.
+    Walks that leave their site stop at the first unknown page and go on from there.
     """
     start = [*TASK, "order_key"]
+    shape = [*start, "url", "link_selector", "next_selector", "max_pages", "page_no"]
     front = cut_lineage(
         starts.withColumn("page_no", F.lit(0))
         .withColumn("next_selector", F.coalesce("next_selector", F.lit("")))
-        .filter("max_pages IS NULL OR max_pages > 0"))
-    facts, visits = _Pieces(), _Pieces()
+        .filter("max_pages IS NULL OR max_pages > 0").select(shape))
+    facts, visits, rounds = _Pieces(), _Pieces(), 0
     while True:
         keys = front.select(*LINK_KEY).distinct()
         if facts.parts:
             keys = keys.join(facts.all(), LINK_KEY, "left_anti")
         known = facts.add(cut_lineage(link_facts(keys, pages)))
-        found = known.drop("links").withColumn("found", F.lit(True))
-        here = front.join(found, LINK_KEY, "left")
+        if rounds == page_rounds:
+            known = facts.add(cut_lineage(site_facts(front, known, pages)))
+        walked, ahead = front, rounds >= page_rounds
+        if ahead:
+            walked = walk_known(front, known)
+        told = known.drop("links").withColumn("found", F.lit(True))
+        here = walked.join(told, LINK_KEY, "left")
         if missing == "fail":
             here = here.withColumn("error", F.when(
                 F.col("found").isNull(), http_error(F.lit(404), F.col("url")))
                 .otherwise(F.col("error")))
-        here = cut_lineage(here.drop("found"))
-        seen = visits.add(here)
-        onward = (
-            here.filter("error IS NULL AND next_url IS NOT NULL "
-                        "AND (max_pages IS NULL OR page_no + 1 < max_pages)")
-            .withColumn("url", F.col("next_url")).withColumn("page_no", F.col("page_no") + 1)
-            .drop("error", "next_url"))
-        front = cut_lineage(onward.join(seen.select(*start, "url"), [*start, "url"], "left_anti"))
+        if ahead:
+            # behind the standing pages, a page without facts is unknown, not absent
+            standing = front.select(*start, "url", F.lit(True).alias("asked"))
+            if visits.parts:
+                here = here.join(visits.all().select(*start, "url"), [*start, "url"], "left_anti")
+            here = cut_lineage(here.join(standing, [*start, "url"], "left"))
+            settled = here.filter("found OR asked").drop("found", "asked")
+            front = cut_lineage(here.filter("found IS NULL AND asked IS NULL").select(shape))
+            visits.add(settled)
+        else:
+            here = cut_lineage(here.drop("found"))
+            seen = visits.add(here)
+            onward = (
+                here.filter("error IS NULL AND next_url IS NOT NULL "
+                            "AND (max_pages IS NULL OR page_no + 1 < max_pages)")
+                .withColumn("url", F.col("next_url")).withColumn("page_no", F.col("page_no") + 1))
+            front = cut_lineage(onward.select(shape).join(
+                seen.select(*start, "url"), [*start, "url"], "left_anti"))
         if front.isEmpty():
             return visits.all(), facts.all()
+        rounds += 1
 
 
 def dedup_urls(requests: DataFrame, key: Callable[[Column], Column] = url_key) -> DataFrame:

@@ -11,7 +11,7 @@ from harvest.functions.page import match_page
 from harvest.functions.text import url_key
 from harvest.operators.extract import custom_items, selected_items, with_item_id
 from harvest.operators.frontier import (
-    TASK, claim_requests, fetch_known, union_frontiers, walk_listings, with_state)
+    PAGE_ROUNDS, TASK, claim_requests, fetch_known, union_frontiers, walk_listings, with_state)
 from harvest.operators.ordered import OrderedGroups
 from harvest.operators.outcome import run_summary, task_outcome
 from harvest.plans.results import CrawlResult
@@ -36,7 +36,9 @@ def _prepared(tasks: DataFrame) -> DataFrame:
     ).withColumn("levels", F.size("link_selectors"))
 
 
-def _candidates(tasks: DataFrame, pages: DataFrame, missing: str) -> tuple[DataFrame, DataFrame]:
+def _candidates(
+    tasks: DataFrame, pages: DataFrame, missing: str, page_rounds: int,
+) -> tuple[DataFrame, DataFrame]:
     """Addresses each task would fetch for records, and the failures of listing pages."""
     usable = tasks.filter("has_url AND config_error IS NULL")
     depth = tasks.agg(F.max("levels")).first()[0] or 0
@@ -46,9 +48,9 @@ def _candidates(tasks: DataFrame, pages: DataFrame, missing: str) -> tuple[DataF
     failures = []
     for level in range(depth):
         needs = tasks.select(
-            *TASK, "levels", F.get("link_selectors", F.lit(level)).alias("link_selector"),
+            *TASK, F.get("link_selectors", F.lit(level)).alias("link_selector"),
             "next_selector", "max_pages")
-        visits, facts = walk_listings(front.join(needs, TASK), pages, missing)
+        visits, facts = walk_listings(front.join(needs, TASK), pages, missing, page_rounds)
         failed = visits.filter("error IS NOT NULL").select(
             *TASK, F.lit(level).alias("stage"),
             F.concat("order_key", F.array("page_no")).alias("at"), "error")
@@ -59,9 +61,8 @@ def _candidates(tasks: DataFrame, pages: DataFrame, missing: str) -> tuple[DataF
         reached = visits.filter("error IS NULL").withColumn(
             "page_url", F.col("url")).join(links, ["page_url", "link_selector", "next_selector"])
         reached = reached.select(
-            *TASK, "levels",
-            F.concat("order_key", F.array("page_no", F.col("pos").cast("int"))).alias("order_key"),
-            F.col("target_url").alias("url"))
+            *TASK, F.concat("order_key", F.array("page_no", F.col("pos").cast("int"))).alias("order_key"),
+            F.col("target_url").alias("url")).join(tasks.select(*TASK, "levels"), TASK)
         reached = cut_lineage(reached.join(failed.select(*TASK), TASK, "left_anti"))
         ready.append(reached.filter(F.col("levels") == level + 1).drop("levels"))
         front = reached.filter(F.col("levels") > level + 1).drop("levels")
@@ -87,14 +88,16 @@ def _fetched(requests: DataFrame, tasks: DataFrame, pages: DataFrame, missing: s
 def crawl(
     tasks: DataFrame, pages: DataFrame, missing: str = "fail",
     extractor: Callable | None = None, dedup_key: Callable[[Column], Column] = url_key,
+    page_rounds: int = PAGE_ROUNDS,
 ) -> CrawlResult:
     """Run all tasks of all runs at once against a table of fetched pages (one row per ``url``).
 
     ``tasks`` as :func:`harvest.operators.config.plan_tasks` gives them. ``extractor`` replaces
     the selector rules (see :func:`custom_items`), ``dedup_key`` the identity of an address.
+    ``page_rounds``: see :func:`harvest.operators.frontier.walk_listings`.
     """
     tasks = cut_lineage(_prepared(tasks))
-    ready, listing_failures = _candidates(tasks, pages, missing)
+    ready, listing_failures = _candidates(tasks, pages, missing, page_rounds)
 
     # a task asks for each key once: its first place in the visit order
     wanted = ready.join(tasks.select(

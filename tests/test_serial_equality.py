@@ -18,7 +18,7 @@ def make_runs(seed, count):
     rnd = random.Random(seed)
     runs, pages = [], {}
     for n in range(count):
-        urls = [f"https://r{n}.test/p{j}" for j in range(rnd.randint(2, 9))]
+        urls = [f"https://r{n}-{j % 2 if n % 3 == 0 else 0}.test/p{j}" for j in range(rnd.randint(2, 9))]
         for url in urls:
             if rnd.random() < 0.1:
                 continue            # not fetched
@@ -120,16 +120,17 @@ def frames(spark, runs, pages):
     return tasks, page_df
 
 
-@pytest.mark.parametrize("missing, spread", [("fail", False), ("empty", True)])
-def test_equals_serial_loop(spark, monkeypatch, missing, spread):
+@pytest.mark.parametrize("missing, spread, page_rounds", [
+    ("fail", False, 16), ("empty", True, 0), ("fail", False, 1)])
+def test_equals_serial_loop(spark, monkeypatch, missing, spread, page_rounds):
     if spread:      # make every group count as too large for one task
         plain = ordered.OrderedGroups.__init__
         monkeypatch.setattr(ordered.OrderedGroups, "__init__",
                             lambda self, df, group, order, rows=0, written=False:
                             plain(self, df, group, order, 0, written))
-    runs, pages = make_runs(5 if spread else 4, 120)
+    runs, pages = make_runs(page_rounds + 4, 120)
     want = serial(runs, pages, missing)
-    result = crawl(*frames(spark, runs, pages), missing=missing)
+    result = crawl(*frames(spark, runs, pages), missing=missing, page_rounds=page_rounds)
     got = {(r.crawl_id, r.task_ord): (r.status, r.error, []) for r in result.tasks.collect()}
     items = result.items.orderBy("crawl_id", "task_ord", "order_key").collect()
     for r in items:
