@@ -188,10 +188,10 @@ class PageTree(HTMLParser):
 
 # -- selectors -----------------------------------------------------------------------------
 
-_IDENT = r"-?(?:[^\W\d]|_)[\w-]*|--[\w-]*"
+_IDENT = r"(?:-?[A-Za-z_\u00a0-\U0010ffff]|--)[A-Za-z0-9_\u00a0-\U0010ffff-]*"
 _PART = re.compile(
-    rf"(?P<tag>\*|{_IDENT})|\#(?P<id>[\w-]+)|\.(?P<cls>{_IDENT})"
-    rf"|\[\s*(?P<attr>{_IDENT})\s*(?:(?P<op>[~|^$*]?=)\s*"
+    rf"(?P<tag>\*|{_IDENT})|\#(?P<id>{_IDENT})|\.(?P<cls>{_IDENT})"
+    rf"|\[\s*(?P<attr>{_IDENT})\s*(?:(?P<op>[~|^$*!]?=)\s*"
     rf"(?:\"(?P<dq>[^\"]*)\"|'(?P<sq>[^']*)'|(?P<bare>{_IDENT}))\s*)?\]"
 )
 _BETWEEN = re.compile(r"\s*([>,])\s*|\s+")
@@ -235,14 +235,16 @@ def _holds(element: Element, name: str, op: str, want: str | None) -> bool:
     if op == "has":
         return want in element.classes
     have = element.attrs.get(name)
-    if have is None or op == "set":
+    if op == "set":
         return have is not None
+    if have is None:
+        return op == "!="
     if name == "class":
         have = " ".join(element.classes)
     if name == "type":              # the one attribute whose values ignore case in HTML
         have, want = have.lower(), want.lower()
-    if op == "=":
-        return have == want
+    if op in ("=", "!="):
+        return (have == want) == (op == "=")
     if op == "|=":
         return have == want or have.startswith(want + "-")
     if not want:

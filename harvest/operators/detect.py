@@ -147,9 +147,20 @@ def detect_link_selector(pages: DataFrame) -> DataFrame:
         _largest().alias("link_selector"))
 
 
+_NAME = r"(-?[A-Za-z_\x{a0}-\x{10ffff}]|--)[A-Za-z0-9_\x{a0}-\x{10ffff}-]*"
+_USABLE = rf"^(#{_NAME}|({_NAME})?(\.{_NAME})*)( a\[href\])?$"
+
+
+def selector_error(*selectors: Column) -> Column:
+    """Names the first detected selector that cannot be used: class names and ids are put in as
+    found, and some, like ``md:flex``, do not make a selector."""
+    odd = F.filter(F.array_compact(F.array(*selectors)), lambda s: ~s.rlike(_USABLE))
+    return F.concat(F.lit("unsupported selector: "), F.get(odd, F.lit(0)))
+
+
 def detect_selectors(pages: DataFrame, detector=None) -> DataFrame:
-    """All detections of a page from one parse:
-    ``page_url, link_selectors, title_selector, time_selector, content_selector``.
+    """All detections of a page from one parse: ``page_url, link_selectors, title_selector,
+    time_selector, content_selector, selector_error``.
 
     ``detector`` replaces the built-in rules: a column function ``html -> struct`` with those four
     fields, for instance a pandas or Arrow function.
@@ -167,5 +178,6 @@ def detect_selectors(pages: DataFrame, detector=None) -> DataFrame:
         _groups(seen, *rest).groupBy("page_url")
         .agg(_largest().alias("link"), *[F.first(c).alias(c) for c in rest])
         .select("page_url",
-                F.filter(F.array("link"), lambda s: s.isNotNull()).alias("link_selectors"), *rest)
+                F.filter(F.array("link"), lambda s: s.isNotNull()).alias("link_selectors"), *rest,
+                selector_error(F.col("link"), *map(F.col, rest)).alias("selector_error"))
     )

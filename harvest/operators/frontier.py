@@ -21,8 +21,10 @@ from harvest.session import cut_lineage
 TASK = ["crawl_id", "task_ord"]
 LINK_KEY = ["url", "link_selector", "next_selector"]
 _UNIONS_BEFORE_REWRITE = 16
-# A parse of all pages costs about as much as this many passes that only look pages up.
-PAGE_ROUNDS = 16
+# Parsing a page costs about as much as this many passes that only look at it.
+PASSES_PER_PARSE = 16
+# Pages a core parses in the time a round takes anyway.
+PAGES_PER_ROUND_AND_CORE = 2_000
 SELECTORS_PER_SITE = 8
 
 
@@ -217,7 +219,7 @@ def walk_known(front: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def walk_listings(
-    starts: DataFrame, pages: DataFrame, missing: str, page_rounds: int = PAGE_ROUNDS,
+    starts: DataFrame, pages: DataFrame, missing: str, page_rounds: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Follow next-page links from every start.
 
@@ -225,9 +227,11 @@ def walk_listings(
     Returns the visits (start columns, ``page_no, url, error``) and the facts of the pages.
 
     Each round answers the pages the walks stand on, which costs a pass over the stored pages.
-    Most walks end within a few rounds. Walks still going after ``page_rounds`` are long: then one
-    pass reads the facts of their whole sites, and the walks run over those by doubling jumps.
-    Walks that leave their site stop at the first unknown page and go on from there.
+    Most walks end within a few rounds. For those that do not, one pass reads the facts of their
+    whole sites, and the walks run over those by doubling jumps. That happens after
+    ``page_rounds``; by default once the rounds have cost as much as that pass will, so that the
+    whole costs at most about twice the better way. Walks that leave their site stop at the
+    first unknown page and go on from there.
     """
     start = [*TASK, "order_key"]
     shape = [*start, "url", "link_selector", "next_selector", "max_pages", "page_no"]
@@ -236,14 +240,18 @@ def walk_listings(
         .withColumn("next_selector", F.coalesce("next_selector", F.lit("")))
         .filter("max_pages IS NULL OR max_pages > 0").select(shape))
     facts, visits, rounds = _Pieces(), _Pieces(), 0
+    jumping, site_read = page_rounds == 0, False
+    round_cost = site_cost = None
     while True:
         keys = front.select(*LINK_KEY).distinct()
         if facts.parts:
             keys = keys.join(facts.all(), LINK_KEY, "left_anti")
         known = facts.add(cut_lineage(link_facts(keys, pages)))
-        if rounds == page_rounds:
+        ahead = jumping
+        if ahead and not site_read:
             known = facts.add(cut_lineage(site_facts(front, known, pages)))
-        walked, ahead = front, rounds >= page_rounds
+            site_read = True
+        walked = front
         if ahead:
             walked = walk_known(front, known)
         told = known.drop("links").withColumn("found", F.lit(True))
@@ -273,6 +281,20 @@ def walk_listings(
         if front.isEmpty():
             return visits.all(), facts.all()
         rounds += 1
+        if page_rounds is not None:
+            jumping = rounds >= page_rounds
+        elif not jumping:
+            if round_cost is None:
+                round_cost, site_cost = _costs(front, pages)
+            jumping = rounds * round_cost >= site_cost
+
+
+def _costs(front: DataFrame, pages: DataFrame) -> tuple[float, int]:
+    """Cost of one more round and of reading the walks' whole sites, both in parsed pages."""
+    sites = front.select(site_of(F.col("url")).alias("_site")).distinct()
+    on_sites = pages.select(site_of(F.col("url")).alias("_site")).join(sites, "_site", "left_semi")
+    cores = front.sparkSession.sparkContext.defaultParallelism
+    return (pages.count() / PASSES_PER_PARSE + PAGES_PER_ROUND_AND_CORE * cores, on_sites.count())
 
 
 def dedup_urls(requests: DataFrame, key: Callable[[Column], Column] = url_key) -> DataFrame:

@@ -8,6 +8,8 @@ what the slots before it hold. Both ways give the same rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,7 @@ ROWS_IN_ONE_TASK = 1_000_000
 
 
 class OrderedGroups:
-    """Rows of ``df`` laid out by group and order. ``order`` must be unique within a group and
-    both must be non-null column names."""
+    """Rows of ``df`` laid out by group and order; ``order`` must be unique within a group."""
 
     def __init__(self, df: DataFrame, group: list[str], order: list[str],
                  rows_in_one_task: int = ROWS_IN_ONE_TASK, written: bool = False):
@@ -47,7 +48,10 @@ class OrderedGroups:
             earlier = (
                 rows.groupBy(*self.group, "_slot").agg(fold("_value").alias("_total"))
                 .withColumn("_before", fold("_total").over(before)).drop("_total"))
-            joined = out.join(earlier, [*self.group, "_slot"])
+            keys = [*self.group, "_slot"]
+            earlier = earlier.select(*[F.col(k).alias(f"_e_{k}") for k in keys], "_before")
+            same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys])
+            joined = out.join(earlier, same).drop(*[f"_e_{k}" for k in keys])
             whole = (
                 F.col(name) + F.coalesce("_before", F.lit(0)) if how == "sum"
                 else F.greatest(F.col(name), F.col("_before")))

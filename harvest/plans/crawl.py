@@ -11,7 +11,7 @@ from harvest.functions.page import match_page
 from harvest.functions.text import url_key
 from harvest.operators.extract import custom_items, selected_items, with_item_id
 from harvest.operators.frontier import (
-    PAGE_ROUNDS, TASK, claim_requests, fetch_known, union_frontiers, walk_listings, with_state)
+    TASK, claim_requests, fetch_known, union_frontiers, walk_listings, with_state)
 from harvest.operators.ordered import OrderedGroups
 from harvest.operators.outcome import run_summary, task_outcome
 from harvest.plans.results import CrawlResult
@@ -37,7 +37,7 @@ def _prepared(tasks: DataFrame) -> DataFrame:
 
 
 def _candidates(
-    tasks: DataFrame, pages: DataFrame, missing: str, page_rounds: int,
+    tasks: DataFrame, pages: DataFrame, missing: str, page_rounds: int | None,
 ) -> tuple[DataFrame, DataFrame]:
     """Addresses each task would fetch for records, and the failures of listing pages."""
     usable = tasks.filter("has_url AND config_error IS NULL")
@@ -88,7 +88,7 @@ def _fetched(requests: DataFrame, tasks: DataFrame, pages: DataFrame, missing: s
 def crawl(
     tasks: DataFrame, pages: DataFrame, missing: str = "fail",
     extractor: Callable | None = None, dedup_key: Callable[[Column], Column] = url_key,
-    page_rounds: int = PAGE_ROUNDS,
+    page_rounds: int | None = None,
 ) -> CrawlResult:
     """Run all tasks of all runs at once against a table of fetched pages (one row per ``url``).
 

@@ -28,8 +28,16 @@ def as_pages(df: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored pages as a response table."""
-    return as_pages(spark.read.parquet(path))
+    """Stored pages as a response table.
+
+    Parsing is heavy work per byte. A store of fewer splits than the cluster has cores is dealt
+    out to all of them; a larger one is read as it lies, without a shuffle of page texts.
+    """
+    stored = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if stored.rdd.getNumPartitions() < cores:
+        stored = stored.repartition(cores)
+    return as_pages(stored)
 
 
 def save_pages_by_url(pages: DataFrame, table: str, buckets: int) -> None:

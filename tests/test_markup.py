@@ -68,13 +68,13 @@ PAGE = """<div id=d1 class="list x"><ul id=u1><li id=l1><a id=a1 href=1 rel="nof
     ("a", ["a1", "a2", "a3"]), ("A[HREF]", ["a1", "a2"]), (".list a", ["a1", "a2"]), (".list > a", ["a2"]),
     ("ul > li>a", ["a1"]), ("ul a, .list > a", ["a1", "a2", "a3"]), ("#u2 *", ["a3"]), ("div.x.list", ["d1"]),
     ('[data-k="v-1"]', ["a3"]), ("[data-k^=v]", ["a3"]), ('[data-k$="1"]', ["a3"]), ("[data-k|=v]", ["a3"]),
-    ("[rel~=me]", ["a1"]), ("[rel*=follow]", ["a1"]), ("div ul ul", []), ("[document] a", []),
+    ("[rel~=me]", ["a1"]), ("a[rel!=x]", ["a1", "a2", "a3"]), ('ul[id!="u1"]', ["u2"]), ("[rel*=follow]", ["a1"]), ("div ul ul", []), ("[document] a", []),
 ])
 def test_selectors(selector, want):
     assert pick(PAGE, selector) == want
 
 
-@pytest.mark.parametrize("selector", ["", "a:first-child", "a + b", ".2x", "md:flex", ">a", "a >", "a,,b", "[a=", "a\\:b"])
+@pytest.mark.parametrize("selector", ["", "a:first-child", "a + b", ".2x", "md:flex", ">a", "a >", "a,,b", "[a=", "a\\:b", "#1a"])
 def test_unsupported_selectors_are_refused(selector):
     with pytest.raises(ValueError):
         compile_selector(selector)

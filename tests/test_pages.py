@@ -118,6 +118,13 @@ def test_detection(spark, html, field, want):
     assert detect(spark, html)[field] == want
 
 
+@pytest.mark.parametrize("html, want", [
+    ('<h1 class="md:flex">x</h1>', "unsupported selector: h1.md:flex"), ('<h2 id="1a">x</h2>', "unsupported selector: #1a"),
+    ('<h1 class="标题 a_b--c">x</h1><i class="date"></i>', None)])
+def test_unusable_detection_is_named(spark, html, want):
+    assert detect(spark, html).selector_error == want
+
+
 def test_custom_items_checks_fields(spark):
     fetched = page(spark, "<p>a").withColumns({
         "line_id": F.lit("l"), "source_id": F.lit("s"), "line_name": F.lit("n")})
