@@ -110,7 +110,7 @@ def detect_content_density(pages: DataFrame) -> DataFrame:
 def tag_signatures(pages: DataFrame) -> DataFrame:
     """Signature and selector of every element."""
     return _by_page(pages, nodes=lambda nodes: nodes).select(
-        "page_url", F.explode("nodes").alias("n")).select(
+        "page_url", F.explode_outer("nodes").alias("n")).filter(F.col("n").isNotNull()).select(
         "page_url", "n.ord", signature(F.col("n")).alias("signature"),
         tag_selector(F.col("n")).alias("selector"))
 

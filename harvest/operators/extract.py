@@ -19,9 +19,13 @@ CONTENT_LIMIT = 10_000
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """One row per element of every page, in document order by ``ord``."""
+    """One row per element of every page, in document order by ``ord``.
+
+    The outer form with a filter behind it: for the plain form the optimizer would test the list
+    for emptiness below, which means parsing every page a second time.
+    """
     return pages.select(F.col("url").alias("page_url"), parse_page("html").alias("page")).select(
-        "page_url", F.inline("page.nodes"))
+        "page_url", F.inline_outer("page.nodes")).filter(F.col("ord").isNotNull())
 
 
 def select_nodes(pages: DataFrame, selector: str) -> DataFrame:
@@ -69,13 +73,15 @@ def extract_links(pages: DataFrame, selector: str = "a[href]") -> DataFrame:
 
 
 def next_link(pages: DataFrame, selector: str) -> DataFrame:
-    """Next listing page of each page, where there is one."""
+    """Next listing page of each page, where there is one.
+
+    A list of at most one that is unfolded, not a filter: a filter would be computed below the
+    projection too, with a second parse.
+    """
     match = match_page(F.col("html"), F.array(F.lit(check_selector(selector))))
-    return (
-        pages.select("url", F.get(match, F.lit(0)).alias("m"))
-        .select(F.col("url").alias("page_url"), page_next(F.col("url"), F.col("m")).alias("next_url"))
-        .filter(F.col("next_url").isNotNull())
-    )
+    found = pages.select("url", F.get(match, F.lit(0)).alias("m"))
+    onward = F.array_compact(F.array(page_next(F.col("url"), F.col("m"))))
+    return found.select(F.col("url").alias("page_url"), F.explode(onward).alias("next_url"))
 
 
 def page_items(fetched: DataFrame) -> DataFrame:
