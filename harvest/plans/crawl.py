@@ -36,6 +36,18 @@ def _prepared(tasks: DataFrame) -> DataFrame:
     ).withColumn("levels", F.size("link_selectors"))
 
 
+def _first_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """Where repeats are dropped, each ``key`` of a task once, at its first place.
+
+    Done at every level: a page met again has the same links as before, all of them behind their
+    first places. Otherwise repeats would multiply from level to level.
+    """
+    rest = [c for c in rows.columns if c not in (*TASK, key, "order_key")]
+    once = rows.filter("dedup_enabled").groupBy(*TASK, key).agg(
+        F.min(F.struct("order_key", *rest)).alias("first")).select(*TASK, key, "first.*")
+    return once.unionByName(rows.filter("NOT dedup_enabled"))
+
+
 def _candidates(
     tasks: DataFrame, pages: DataFrame, missing: str, page_rounds: int | None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -62,8 +74,8 @@ def _candidates(
             "page_url", F.col("url")).join(links, ["page_url", "link_selector", "next_selector"])
         reached = reached.select(
             *TASK, F.concat("order_key", F.array("page_no", F.col("pos").cast("int"))).alias("order_key"),
-            F.col("target_url").alias("url")).join(tasks.select(*TASK, "levels"), TASK)
-        reached = cut_lineage(reached.join(failed.select(*TASK), TASK, "left_anti"))
+            F.col("target_url").alias("url")).join(tasks.select(*TASK, "levels", "dedup_enabled"), TASK)
+        reached = cut_lineage(_first_of_each(reached, "url").drop("dedup_enabled").join(failed.select(*TASK), TASK, "left_anti"))
         ready.append(reached.filter(F.col("levels") == level + 1).drop("levels"))
         front = reached.filter(F.col("levels") > level + 1).drop("levels")
     ready = union_frontiers(*ready)
@@ -99,14 +111,11 @@ def crawl(
     tasks = cut_lineage(_prepared(tasks))
     ready, listing_failures = _candidates(tasks, pages, missing, page_rounds)
 
-    # a task asks for each key once: its first place in the visit order
     wanted = ready.join(tasks.select(
         *TASK, "dedup_enabled", "levels", "max_items", "selector_error"), TASK).withColumn(
         "key", dedup_key(F.col("url")))
-    rest = [c for c in wanted.columns if c not in (*TASK, "key", "order_key")]
-    once = wanted.filter("dedup_enabled").groupBy(*TASK, "key").agg(
-        F.min(F.struct("order_key", *rest)).alias("first")).select(*TASK, "key", "first.*")
-    wanted = once.unionByName(wanted.filter("NOT dedup_enabled").select(once.columns))
+    if dedup_key is not url_key:        # addresses are unique within a task already
+        wanted = _first_of_each(wanted, "key")
     # success or failure of every address, without reading page texts
     wanted = cut_lineage(with_state(wanted, pages, missing).withColumn("weight", F.lit(1).cast("long")))
 

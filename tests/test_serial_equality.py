@@ -158,3 +158,19 @@ def test_negative_limit_is_refused_for_its_task_only(spark):
     assert [(r.status, r.item_count) for r in result.tasks.orderBy("task_ord").collect()] == [
         ("failed", 0), ("success", 1)]
     assert result.items.select(F.count("*")).first()[0] == 1
+
+
+def test_partitioning_does_not_matter(spark):
+    runs, pages = make_runs(11, 40)
+    want = serial(runs, pages, "fail")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("1", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        tasks, stored = frames(spark, runs, pages)
+        result = crawl(tasks.repartition(int(partitions)), stored.repartition(3),
+                       dedup_key=lambda url: F.concat(F.lit("k"), url))
+        got = {(r.crawl_id, r.task_ord): (r.status, r.error, []) for r in result.tasks.collect()}
+        for r in result.items.orderBy("crawl_id", "task_ord", "order_key").collect():
+            got[r.crawl_id, r.task_ord][2].append(r.url)
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
