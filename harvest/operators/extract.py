@@ -148,14 +148,17 @@ CUSTOM_ITEM = T.StructType([
     T.StructField("content", T.StringType()),
     T.StructField("content_type", T.StringType()),
     T.StructField("published_at_raw", T.StringType()),
+    T.StructField("extract_error", T.StringType()),
 ])
 
 
-def custom_items(fetched: DataFrame, extractor: Callable) -> DataFrame:
+def custom_items(fetched: DataFrame, extractor: Callable, keep_errors: bool = False) -> DataFrame:
     """Run a user's extractor: one fetched row (a dict) to any number of record dicts.
 
     The extractor sees Arrow batches of the fetched pages on the executors; each record may set
     ``url, title, content, content_type, published_at_raw``. ``record_no`` keeps their order.
+    With ``keep_errors`` a page whose extraction raises gives one row with ``extract_error``
+    instead of ending the job.
     """
     keys = [f.name for f in fetched.schema.fields]
     carried = [f for f in fetched.schema.fields if f.name not in ("html", "response_url", "status_code",
@@ -163,6 +166,16 @@ def custom_items(fetched: DataFrame, extractor: Callable) -> DataFrame:
     own = [f for f in CUSTOM_ITEM.fields if f.name not in {c.name for c in carried}]
     schema = T.StructType([*carried, T.StructField("status_code", T.IntegerType()), *own])
 
+    def records(row: dict) -> list[dict]:
+        made = []
+        for record in extractor(row):
+            unknown = set(record) - {"url", "title", "content", "content_type", "published_at_raw"}
+            if unknown:
+                raise ValueError(f"extractor returned unknown fields: {sorted(unknown)}")
+            made.append({"title": "", "content": "", "url": row.get("response_url"),
+                         "content_type": row.get("content_type"), **record})
+        return made
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -172,18 +185,16 @@ def custom_items(fetched: DataFrame, extractor: Callable) -> DataFrame:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                for number, record in enumerate(extractor(row)):
-                    unknown = set(record) - {
-                        "url", "title", "content", "content_type", "published_at_raw"}
-                    if unknown:
-                        raise ValueError(f"extractor returned unknown fields: {sorted(unknown)}")
-                    out = {k: row.get(k) for k in keys}
-                    out.update(
-                        request_url=row.get("request_url") or row.get("url"), record_no=number,
-                        url=record.get("url", row.get("response_url")),
-                        title=record.get("title", ""), content=record.get("content", ""),
-                        content_type=record.get("content_type", row.get("content_type")),
-                        published_at_raw=record.get("published_at_raw"))
+                try:
+                    made = records(row)
+                except Exception as problem:
+                    if not keep_errors:
+                        raise
+                    made = [{"extract_error": str(problem)}]
+                base = {k: row.get(k) for k in keys}
+                base["request_url"] = row.get("request_url") or row.get("url")
+                for number, record in enumerate(made):
+                    out = {**base, "record_no": number, **record}
                     rows.append({name: out.get(name) for name in arrow.names})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 

@@ -18,6 +18,10 @@ from harvest.plans.results import CrawlResult
 from harvest.session import cut_lineage
 
 
+_AFTER_LISTINGS = 1_000_000     # stage number behind all link levels
+_ENDLESS = 1 << 50              # more records than any limit
+
+
 def _prepared(tasks: DataFrame) -> DataFrame:
     """Task rows with flat extractor columns and what can be told before any fetch."""
     x = F.col("extractors")
@@ -112,8 +116,8 @@ def crawl(
     ready, listing_failures = _candidates(tasks, pages, missing, page_rounds)
 
     wanted = ready.join(tasks.select(
-        *TASK, "dedup_enabled", "levels", "max_items", "selector_error"), TASK).withColumn(
-        "key", dedup_key(F.col("url")))
+        *TASK, "dedup_enabled", "levels", "max_items", F.col("selector_error").alias("spoilt")),
+        TASK).withColumn("key", dedup_key(F.col("url")))
     if dedup_key is not url_key:        # addresses are unique within a task already
         wanted = _first_of_each(wanted, "key")
     # success or failure of every address, without reading page texts
@@ -122,42 +126,42 @@ def crawl(
     if extractor is not None:
         good = wanted.filter("fetch_error IS NULL").drop("fetch_error")
         # how many records an address gives is known only once the extractor has run
-        made = _fetched(good, tasks, pages, missing)
-        records = cut_lineage(custom_items(made.withColumn("request_url", F.col("url")), extractor))
-        counts = records.groupBy(*TASK, "order_key").agg(F.count("*").alias("weight"))
-        wanted = cut_lineage(wanted.drop("weight").join(
-            counts, [*TASK, "order_key"], "left").fillna(0, ["weight"]))
+        made = _fetched(good, tasks, pages, missing).withColumn("request_url", F.col("url"))
+        records = cut_lineage(custom_items(made, extractor, keep_errors=True))
+        counts = records.groupBy(*TASK, "order_key").agg(
+            F.count("*").alias("weight"), F.max("extract_error").alias("spoilt"))
+        wanted = wanted.drop("weight", "spoilt").join(counts, [*TASK, "order_key"], "left")
+        wanted = cut_lineage(wanted.fillna(0, ["weight"]))
+        records = records.filter("extract_error IS NULL").drop("extract_error")
 
     stops = (
         wanted.filter("fetch_error IS NOT NULL").groupBy(*TASK)
         .agg(F.min(F.struct("order_key", "fetch_error")).alias("stop"))
         .select(*TASK, F.col("stop.order_key").alias("stop_at"), F.col("stop.fetch_error").alias("stop_error")))
-    # a direct request is made whatever its limit; a task that cannot extract stops at its first
-    allowed = (
-        F.when(F.col("selector_error").isNotNull() & ~((F.col("levels") > 0) & (F.coalesce(
-            "max_items", F.lit(1)) == 0)), F.lit(1))
-        .when(F.col("levels") > 0, F.col("max_items")))
+    spoilt_tasks = wanted.filter("spoilt IS NOT NULL").select(*TASK, F.lit(True).alias("_spoilt")).distinct()
+    # A direct request is made whatever its limit. An address whose extraction fails ends its task:
+    # it weighs more than any limit, so it may be asked for but nothing behind it.
+    limit = F.when(F.col("levels") > 0, F.col("max_items").cast("long"))
     before_stop = (
-        wanted.join(stops.select(*TASK, "stop_at"), TASK, "left")
+        wanted.join(stops.select(*TASK, "stop_at"), TASK, "left").join(spoilt_tasks, TASK, "left")
         .filter("stop_at IS NULL OR order_key < stop_at")
-        .withColumn("fetch_limit", allowed).drop("stop_at", "fetch_error"))
+        .withColumn("fetch_limit", F.coalesce(limit, F.when(F.col("_spoilt"), F.lit(_ENDLESS))))
+        .withColumn("weight", F.when(F.col("spoilt").isNotNull(), F.lit(_ENDLESS)).otherwise(F.col("weight")))
+        .drop("stop_at", "fetch_error", "_spoilt"))
     claims = cut_lineage(claim_requests(cut_lineage(before_stop)))
 
-    used = claims.groupBy(*TASK).agg(F.sum("weight").alias("records"), F.count("*").alias("requests"))
+    used = claims.groupBy(*TASK).agg(F.sum("weight").alias("records"))
+    fetching = F.lit(_AFTER_LISTINGS).alias("stage")
     stopped = (
         stops.join(tasks.select(*TASK, "levels", "max_items"), TASK).join(used, TASK, "left")
         .filter("levels = 0 OR max_items IS NULL OR coalesce(records, 0) < max_items")
-        .select(*TASK, F.lit(1_000_000).alias("stage"), F.col("stop_at").alias("at"),
-                F.col("stop_error").alias("error")))
-    unextractable = (
-        tasks.filter("selector_error IS NOT NULL").join(used, TASK)
-        .filter("requests > 0")
-        .select(*TASK, F.lit(999_999).alias("stage"), F.array().cast("array<int>").alias("at"),
-                F.col("selector_error").alias("error")))
+        .select(*TASK, fetching, F.col("stop_at").alias("at"), F.col("stop_error").alias("error")))
+    spoilt = claims.filter("spoilt IS NOT NULL").select(
+        *TASK, fetching, F.col("order_key").alias("at"), F.col("spoilt").alias("error"))
     refused = tasks.filter("config_error IS NOT NULL").select(
         *TASK, F.lit(-1).alias("stage"), F.array().cast("array<int>").alias("at"),
         F.col("config_error").alias("error"))
-    failures = cut_lineage(union_frontiers(listing_failures, stopped, unextractable, refused))
+    failures = cut_lineage(union_frontiers(listing_failures, stopped, spoilt, refused))
 
     good = claims.join(failures.select(*TASK), TASK, "left_anti")
     if extractor is None:

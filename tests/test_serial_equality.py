@@ -42,7 +42,7 @@ class Failed(Exception):
     pass
 
 
-def serial(runs, pages, missing):
+def serial(runs, pages, missing, size=None):
     def get(url):
         if url not in pages:
             if missing == "fail":
@@ -66,7 +66,12 @@ def serial(runs, pages, missing):
                 seen.add(url)
                 if task["title"] == BAD:
                     raise Failed(BAD_TEXT)
-                items.append(url)
+                if size is None:
+                    items.append(url)
+                elif size(url) == 4:
+                    raise Failed("cannot read " + url)
+                else:
+                    items.extend(f"{url} {i}" for i in range(size(url)))
 
             try:
                 if task["url"] and not task["levels"]:
@@ -91,12 +96,40 @@ def serial(runs, pages, missing):
                         if task["limit"] is not None and len(items) >= task["limit"]:
                             break
                         record(url)
+                if task["limit"] is not None:
+                    items = items[:task["limit"]]
                 out[run["id"], task["order"]] = ("success", None, items)
             except Failed as problem:
                 out[run["id"], task["order"]] = ("failed", str(problem), [])
     return out
 
 
+def test_extractor_with_errors_and_many_records(spark):
+    """0 to 3 records a page, some pages raise; limits count records."""
+    runs, pages = make_runs(21, 80)
+    for run in runs:
+        for task in run["tasks"]:
+            task["title"] = None
+
+    def size(url):
+        return sum(map(ord, url)) % 5
+
+    def extractor(row):
+        n = sum(map(ord, row["response_url"])) % 5
+        if n == 4:
+            raise RuntimeError("cannot read " + row["response_url"])
+        return [{"title": f"{row['response_url']} {i}"} for i in range(n)]
+
+    want = serial(runs, pages, "fail", size)
+    tasks, stored = frames(spark, runs, pages)
+    result = crawl(tasks, stored, extractor=extractor)
+    got = {(r.crawl_id, r.task_ord): (r.status, r.error, []) for r in result.tasks.collect()}
+    for r in result.items.orderBy("crawl_id", "task_ord", "order_key").collect():
+        got[r.crawl_id, r.task_ord][2].append(r.title)
+    assert got == want
+    assert {r.item_count for r in result.tasks.collect()} >= {0, 1, 2}
+
+
 def frames(spark, runs, pages):
     def html(url, links, onward):
         parts = [f"<h1>{url}</h1>"]
