@@ -115,6 +115,9 @@ class PageTree(HTMLParser):
         else:
             self._written += len(data) + 4
 
+    def updatepos(self, i, j):
+        return j                    # line numbers are not needed
+
     # -- tree building -------------------------------------------------------------------
 
     def _start(self, tag, attrs):

@@ -30,6 +30,7 @@ _PRESETS = [
     ("stream", {}, 0.0, 5, 3.0, 1, None, "消息与流数据：消息队列、实时流、WebSocket"),
     ("external", {}, 60.0, 3, 2.0, 5, None, "外部结构和第三方系统：数据库、SaaS 平台、遗留系统"),
 ]
+_DOWNLOADERS = ["http", "playwright"]
 _OPTION_TYPES = {
     "downloader": "string", "timeout": "double", "retry_max": "int", "retry_delay": "double",
     "concurrency": "int", "rate_limit": "double", "dedup_enabled": "boolean",
@@ -90,6 +91,8 @@ def plan_tasks(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     meta fields become ``params``. ``crawl_id`` defaults to one run per source.
     """
     run = [F.col(c) for c in ("crawl_id", "dedup_enabled") if c in sources.columns]
+    run.append((F.col("config_error") if "config_error" in sources.columns
+                else F.lit(None).cast("string")).alias("config_error"))
     if "crawl_id" not in sources.columns:
         run.append(F.concat(F.lit("run-"), "id").alias("crawl_id"))
     if "dedup_enabled" not in sources.columns:
@@ -117,7 +120,7 @@ def plan_tasks(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         F.col("line.url").alias("url"),
         F.map_filter(meta, lambda k, v: k != EXTRACTOR_CONFIG).alias("params"),
         F.col("line.item_limit").alias("max_items"), extractors.alias("extractors"),
-        F.coalesce("dedup_enabled", F.lit(True)).alias("dedup_enabled"))
+        F.coalesce("dedup_enabled", F.lit(True)).alias("dedup_enabled"), "config_error")
 
 
 def extract_mode(tasks: DataFrame) -> DataFrame:
@@ -164,24 +167,41 @@ def resolve_run_config(sources: DataFrame) -> DataFrame:
 
     A key present in ``overrides`` wins also when it is null; a null in ``options`` or in the
     source's meta means "not set". Unknown keys are ignored; ``meta`` comes from overrides alone.
+    ``config_error`` names settings whose value does not fit; such a run is not to be started.
     """
     layer = _layers(sources)
     merged = merge_headers(sources)
+    wrong = []
 
-    def pick(name, kind):
-        fallback = F.coalesce(
-            F.element_at(layer["options"], name).cast(kind),
-            F.element_at(layer["meta"], name).cast(kind), F.col(f"preset.{name}"))
-        return F.when(
-            F.map_contains_key(layer["overrides"], name),
-            F.element_at(layer["overrides"], name).cast(kind)).otherwise(fallback).alias(name)
+    def value(name, where):
+        text = F.element_at(layer[where], name)
+        made = _typed(text, _OPTION_TYPES[name])
+        if name == "downloader":
+            made = F.when(text.isin(_DOWNLOADERS), text)
+        wrong.append(F.when(text.isNotNull() & made.isNull(), F.lit(f"{where}.{name}")))
+        return made
+
+    def pick(name):
+        over, option, meta = (value(name, where) for where in ("overrides", "options", "meta"))
+        return F.when(F.map_contains_key(layer["overrides"], name), over).otherwise(
+            F.coalesce(option, meta, F.col(f"preset.{name}"))).alias(name)
 
     run = F.col("crawl_id") if "crawl_id" in sources.columns else F.concat(F.lit("run-"), "id")
     kept = [c for c in ("id", "name", "url", "lines") if c in sources.columns]
+    settings = [pick(name) for name in _OPTION_TYPES]
+    problems = F.array_join(F.array_compact(F.array(*wrong)), ", ")
     return merged.select(
-        run.alias("crawl_id"), *kept, "type", "headers",
-        *[pick(name, kind) for name, kind in _OPTION_TYPES.items()],
-        _json_map(F.element_at(layer["overrides"], "meta")).alias("run_meta"))
+        run.alias("crawl_id"), *kept, "type", "headers", *settings,
+        _json_map(F.element_at(layer["overrides"], "meta")).alias("run_meta"),
+        F.when(problems != "", F.concat(F.lit("invalid setting: "), problems)).alias("config_error"))
+
+
+def _typed(text: Column, kind: str) -> Column:
+    """The value of a setting, null where the text does not give one."""
+    if kind == "int":
+        number = text.try_cast("double")
+        return F.when(number == F.floor(number), number.try_cast("int"))
+    return text.try_cast(kind)
 
 
 def apply_detected(sources: DataFrame, detected: DataFrame) -> DataFrame:

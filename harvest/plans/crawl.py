@@ -24,6 +24,8 @@ _ENDLESS = 1 << 50              # more records than any limit
 
 def _prepared(tasks: DataFrame) -> DataFrame:
     """Task rows with flat extractor columns and what can be told before any fetch."""
+    if "config_error" not in tasks.columns:
+        tasks = tasks.withColumn("config_error", F.lit(None).cast("string"))
     x = F.col("extractors")
     data_selectors = F.array(x["title_selector"], x["time_selector"], x["content_selector"])
     problems = F.transform(match_page(F.lit(""), data_selectors), lambda m: m["error"])
@@ -35,7 +37,8 @@ def _prepared(tasks: DataFrame) -> DataFrame:
         x["content_selector"].alias("content_selector"),
         x["next_page_selector"].alias("next_selector"), x["max_pages"].alias("max_pages"),
         F.get(F.filter(problems, lambda e: e.isNotNull()), F.lit(0)).alias("selector_error"),
-        F.when(F.col("max_items") < 0, F.lit("max_items must not be negative")).alias("config_error"),
+        F.coalesce("config_error", F.when(
+            F.col("max_items") < 0, F.lit("max_items must not be negative"))).alias("config_error"),
         (F.coalesce("url", F.lit("")) != "").alias("has_url"),
     ).withColumn("levels", F.size("link_selectors"))
 

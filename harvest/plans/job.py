@@ -62,7 +62,8 @@ def run_job(
     folder: str, now: Column, missing: str = "fail",
 ) -> JobResult:
     """Check triggers (``trigger_id, source_id``, optional ``overrides`` JSON), enter their tasks
-    as running, run the accepted ones together, store records and logs, finish the tasks.
+    as running, run the accepted ones together, store records and logs, finish the tasks. A run
+    whose settings are invalid is not started: its task and log say why.
 
     ``lines`` needs ``line_ord``. The caller writes ``JobResult.tasks`` as the new task table.
     """
@@ -74,9 +75,16 @@ def run_job(
     extra = [c for c in ("overrides",) if c in triggers.columns]
     named = accepted.select("source_id", *extra, task_key().alias("crawl_id"))
     chosen = sources.join(named.withColumnRenamed("source_id", "id"), "id")
-    result = crawl(plan_tasks(resolve_run_config(chosen), lines.filter("enabled")), pages, missing)
-    persist_run(result, folder, now)
+    config = cut_lineage(resolve_run_config(chosen))
+    broken = config.filter("config_error IS NOT NULL").select(
+        F.col("crawl_id").alias("id"), "crawl_id", F.col("id").alias("source_id"),
+        *[F.lit(0).cast("long").alias(c) for c in ("total_items", "success_count", "failed_count")],
+        F.col("config_error").alias("error"), now.alias("finished_at"))
+    result = crawl(
+        plan_tasks(config.filter("config_error IS NULL"), lines.filter("enabled")), pages, missing)
     finished = result.runs.select(
         F.col("crawl_id").alias("id"), "crawl_id", "source_id", "total_items", "success_count",
         "failed_count", F.lit(None).cast("string").alias("error"), now.alias("finished_at"))
+    finished = finished.unionByName(broken)
+    persist_run(result, folder, now, broken.withColumnRenamed("id", "task_id"))
     return JobResult(answers, finish_tasks(opened, finished), result)

@@ -47,8 +47,11 @@ def collected_rows(items: DataFrame, now: Column) -> DataFrame:
         now.alias("collected_at"))
 
 
-def persist_run(result: CrawlResult, folder: str, now: Column) -> None:
-    """Append the records and one log row per run.
+def persist_run(
+    result: CrawlResult, folder: str, now: Column, broken: DataFrame | None = None,
+) -> None:
+    """Append the records and one log row per run; ``broken`` runs
+    (``task_id, source_id, total_items, error``) get their log row only.
 
     Records are gathered by source before they are written; the hint lets a source that holds
     much of the data keep many writers.
@@ -57,4 +60,7 @@ def persist_run(result: CrawlResult, folder: str, now: Column) -> None:
      .write.mode("append").partitionBy("source_id").parquet(f"{folder}/collected_data"))
     runs = result.runs.withColumnRenamed("crawl_id", "task_id").withColumn(
         "error", F.lit(None).cast("string"))
+    if broken is not None:
+        columns = ["task_id", "source_id", "total_items", "error"]
+        runs = runs.select(columns).unionByName(broken.select(columns))
     run_log_rows(runs, now).write.mode("append").parquet(f"{folder}/crawler_logs")

@@ -11,6 +11,7 @@ from harvest.operators import frontier as R
 from harvest.operators import outcome as O
 from harvest.operators.ordered import OrderedGroups, number_rows
 from harvest.plans.job import run_sources
+from harvest.schemas import STORED
 from harvest.sources.documents import read_run_configs, read_sources
 from harvest.sources.pages import as_pages
 from harvest.sources.sinks import write_result_json
@@ -55,6 +56,37 @@ def test_source_documents(spark, tmp_path):
     assert run.headers["X"] == "over" and run.headers["Y"] == "o" and "User-Agent" in run.headers
 
 
+def test_invalid_settings_are_named(spark):
+    sources = spark.createDataFrame(
+        [("a", "a", "api", '{"retry_max":"x","timeout":"5"}'), ("b", "b", "api", '{"retry_max":2.0,"downloader":"ftp"}'),
+         ("c", "c", "api", '{"retry_max":4.0,"dedup_enabled":false}')],
+        "id string, name string, type string, overrides string")
+    rows = {r.id: r for r in C.resolve_run_config(sources).collect()}
+    assert rows["a"].config_error == "invalid setting: overrides.retry_max" and rows["a"].timeout == 5.0
+    assert rows["b"].config_error == "invalid setting: overrides.downloader"
+    assert (rows["c"].config_error, rows["c"].retry_max, rows["c"].dedup_enabled) == (None, 4, False)
+
+
+def test_job_with_an_invalid_run(spark, tmp_path):
+    from harvest.plans.job import run_job
+
+    sources = spark.createDataFrame([("a", "A", "api", "u"), ("b", "B", "api", "u")],
+                                    "id string, name string, type string, url string")
+    lines = spark.createDataFrame([("a1", "a", "one", "https://x.test/1", True, 0), ("b1", "b", "one", "https://x.test/2", True, 0)],
+                                  "id string, source_id string, name string, url string, enabled boolean, line_ord int")
+    triggers = spark.createDataFrame([("t1", "a", "{}"), ("t2", "b", '{"concurrency":"many"}'), ("t3", "z", "{}")],
+                                     "trigger_id string, source_id string, overrides string")
+    site = as_pages(spark.createDataFrame([("https://x.test/1", "one")], "url string, html string"))
+    empty = spark.createDataFrame([], STORED["crawler_tasks"])
+    now = F.lit("2024-01-01").cast("timestamp")
+    job = run_job(triggers, sources, lines, empty, site, str(tmp_path / "out"), now)
+    assert {(r.source_id, r.status, r.total_items, r.error) for r in job.tasks.collect()} == {
+        ("a", "success", 1, None), ("b", "failed", 0, "invalid setting: overrides.concurrency")}
+    assert {r.code for r in job.answers.collect()} == {201, 404}
+    logs = {r.message for r in spark.read.parquet(str(tmp_path / "out" / "crawler_logs")).collect()}
+    assert logs == {"Crawl completed: 1 items", "Crawl failed: invalid setting: overrides.concurrency"}
+
+
 def test_run_documents(spark, tmp_path):
     write_json(tmp_path / "in", "a.json", {"crawler_id": "c", "source_id": "s", "retry_max": 0, "tasks": [
         {"task_id": "t1", "line_id": "l1", "url": "u", "extractors": {"title_selector": "h1"}}]})
