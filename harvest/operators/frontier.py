@@ -137,23 +137,32 @@ def paginate(starts: DataFrame, next_links: DataFrame, max_pages: int | None = N
 
 def link_facts(keys: DataFrame, pages: DataFrame) -> DataFrame:
     """Facts of the asked (page, selectors); keys without a page give no row."""
-    return facts_of(pages.join(keys, "url"))
+    pair = F.struct("link_selector", "next_selector")
+    return facts_of(pages.join(keys, "url").withColumn("pairs", F.array(pair)))
 
 
-def facts_of(keyed_pages: DataFrame) -> DataFrame:
-    """What the listing pages hold: ``url, link_selector, next_selector, links, next_url, error``.
+def facts_of(pages: DataFrame) -> DataFrame:
+    """What listing pages hold: ``url, link_selector, next_selector, links, next_url, error``.
 
-    Each (page, selectors) is parsed once, whatever number of tasks asks for it. The page text
-    ends here: later steps join these narrow rows.
+    ``pairs`` lists the selectors asked of each page; all are answered from one parse, whatever
+    number of tasks asks. The page text ends here: later steps join these narrow rows.
     """
-    fetched = keyed_pages.withColumn("error", response_error(F.col("url"))).withColumn(
-        "m", match_page(F.col("html"), F.array("link_selector", "next_selector")))
-    links = page_links(F.col("url"), F.col("m")[0]["hrefs"])
-    return fetched.select(
-        *LINK_KEY, links.alias("links"), page_next(F.col("url"), F.col("m")[1]).alias("next_url"),
-        F.coalesce("error", F.col("m")[0]["error"], F.col("m")[1]["error"]).alias("error"),
-    ).withColumn("error", F.coalesce("error", F.when(
-        F.exists("links", lambda link: link.isNull()), F.lit("unusable link address"))))
+    wanted = F.flatten(F.transform("pairs", lambda p: F.array(p["link_selector"], p["next_selector"])))
+    answers = F.transform("pairs", lambda p, i: F.struct(
+        p["link_selector"].alias("link_selector"), p["next_selector"].alias("next_selector"),
+        F.get("m", 2 * i).alias("links"), F.get("m", 2 * i + 1).alias("onward")))
+    found = (
+        pages.withColumn("error", response_error(F.col("url")))
+        .withColumn("m", match_page(F.col("html"), wanted))
+        .select("url", "error", F.explode(answers).alias("a")))
+    told = found.select(
+        "url", "a.link_selector", "a.next_selector",
+        page_links(F.col("url"), F.col("a.links.hrefs")).alias("links"),
+        page_next(F.col("url"), F.col("a.onward")).alias("next_url"),
+        F.coalesce("error", "a.links.error", "a.onward.error").alias("error"))
+    unusable = F.exists("links", lambda link: link.isNull())
+    return told.withColumn("error", F.coalesce(
+        "error", F.when(unusable, F.lit("unusable link address"))))
 
 
 class _Pieces:
@@ -186,7 +195,9 @@ def site_facts(front: DataFrame, known: DataFrame, pages: DataFrame) -> DataFram
     pair = ["link_selector", "next_selector"]
     asked = front.select(site_of(F.col("url")).alias("_site"), *pair).distinct().filter("_site <> ''")
     few = asked.groupBy("_site").count().filter(F.col("count") <= SELECTORS_PER_SITE).select("_site")
-    asked = cut_lineage(asked.join(few, "_site", "left_semi"))
+    asked = cut_lineage(
+        asked.join(few, "_site", "left_semi").groupBy("_site")
+        .agg(F.collect_list(F.struct(*pair)).alias("pairs")))
     keyed = pages.withColumn("_site", site_of(F.col("url"))).join(asked, "_site").drop("_site")
     return facts_of(keyed).join(known, LINK_KEY, "left_anti")
 

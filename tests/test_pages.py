@@ -125,6 +125,15 @@ def test_unusable_detection_is_named(spark, html, want):
     assert detect(spark, html).selector_error == want
 
 
+def test_null_pages_are_empty_pages(spark):
+    raw = spark.createDataFrame([("u", None), (None, "<h1>x</h1>")], "url string, html string")
+    assert E.html_nodes(raw).count() == 1
+    assert E.extract_links(raw).count() == 0 and E.next_link(raw, "a").count() == 0
+    rows = {r.page_url: r.title_selector for r in D.detect_selectors(raw).collect()}
+    assert rows == {"u": None, None: "h1"}
+    assert as_pages(raw).filter("url = 'u'").first().html == ""
+
+
 def test_custom_items_checks_fields(spark):
     fetched = page(spark, "<p>a").withColumns({
         "line_id": F.lit("l"), "source_id": F.lit("s"), "line_name": F.lit("n")})

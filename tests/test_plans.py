@@ -33,6 +33,8 @@ OPERATORS = {
     "select_text": lambda p: E.select_text(p, "h1"),
     "extract_links": lambda p: E.extract_links(p),
     "next_link": lambda p: E.next_link(p, "a"),
+    "link_facts": lambda p: R.link_facts(
+        p.select("url").withColumns({"link_selector": F.lit("a"), "next_selector": F.lit("h1")}), p),
     "data_items": lambda p: E.data_items(asked(p), "h1", ".d", "article"),
     "tag_signatures": D.tag_signatures,
     "link_groups": D.link_groups,
