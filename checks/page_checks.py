@@ -9,7 +9,9 @@ from harvest.functions import text as X
 from harvest.operators import detect as D
 from harvest.operators import extract as E
 
-_UNESCAPE = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+# an entity cut off at the end of its text counts without its semicolon
+_UNESCAPE = (
+    "regexp_replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp(;|$)', '&', 'g')")
 _H1 = "trim(" + _UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)") + ")"
 _HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 _SITE_OF = "regexp_extract(url, '^(https?://[^/]+)', 1)"
