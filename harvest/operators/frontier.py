@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from harvest.functions.page import match_page
 from harvest.functions.text import url_key
 from harvest.operators.extract import page_links, page_next
-from harvest.operators.ordered import ROWS_IN_ONE_TASK, OrderedGroups, number_rows
+from harvest.operators.ordered import OrderedGroups, number_rows
 from harvest.session import cut_lineage
 
 TASK = ["crawl_id", "task_ord"]
@@ -328,7 +328,7 @@ def dedup_urls(requests: DataFrame, key: Callable[[Column], Column] = url_key) -
 
 
 def limit_items(
-    items: DataFrame, weight: str | None = None, rows_in_one_task: int = ROWS_IN_ONE_TASK,
+    items: DataFrame, weight: str | None = None, rows_in_one_task: int | None = None,
 ) -> DataFrame:
     """Requests a task makes before ``max_items`` records are reached, in visit order.
 

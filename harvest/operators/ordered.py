@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 from harvest.session import cut_lineage
 
 ROWS_IN_ONE_TASK = 1_000_000
+SETTING = "harvest.rowsInOneTask"       # session setting that overrides the number
 
 
 class OrderedGroups:
     """Rows of ``df`` laid out by group and order; ``order`` must be unique within a group."""
 
     def __init__(self, df: DataFrame, group: list[str], order: list[str],
-                 rows_in_one_task: int = ROWS_IN_ONE_TASK, written: bool = False):
+                 rows_in_one_task: int | None = None, written: bool = False):
+        if rows_in_one_task is None:
+            rows_in_one_task = int(df.sparkSession.conf.get(SETTING, str(ROWS_IN_ONE_TASK)))
         rows = df if written else cut_lineage(df)      # ``written``: already a stored table
         largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
         self.group, self.order, self.spread = group, order, largest > rows_in_one_task
@@ -64,7 +67,7 @@ class OrderedGroups:
 
 
 def number_rows(df: DataFrame, group: list[str], order: list[str], name: str,
-                rows_in_one_task: int = ROWS_IN_ONE_TASK) -> DataFrame:
+                rows_in_one_task: int | None = None) -> DataFrame:
     """Position 1, 2, … of each row within its group."""
     return OrderedGroups(df, group, order, rows_in_one_task).running(
         name, F.lit(1).cast("long")).frame()

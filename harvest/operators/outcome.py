@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harvest.operators.ordered import ROWS_IN_ONE_TASK, OrderedGroups
+from harvest.operators.ordered import OrderedGroups
 
 TASK = ["crawl_id", "task_ord"]
 
@@ -61,7 +61,7 @@ def run_summary(task_results: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "failed").alias("failed_count"))
 
 
-def rate_schedule(requests: DataFrame, rows_in_one_task: int = ROWS_IN_ONE_TASK) -> DataFrame:
+def rate_schedule(requests: DataFrame, rows_in_one_task: int | None = None) -> DataFrame:
     """Earliest start of each request under its run's ``rate_limit`` (requests per second).
 
     ``requests``: ``run_id, request_id, arrival`` (seconds, double), ``rate_limit``. Each start is

@@ -155,15 +155,13 @@ def frames(spark, runs, pages):
 
 @pytest.mark.parametrize("missing, spread, page_rounds", [
     ("fail", False, 2), ("empty", True, 0)])
-def test_equals_serial_loop(spark, monkeypatch, missing, spread, page_rounds):
-    if spread:      # make every group count as too large for one task
-        plain = ordered.OrderedGroups.__init__
-        monkeypatch.setattr(ordered.OrderedGroups, "__init__",
-                            lambda self, df, group, order, rows=0, written=False:
-                            plain(self, df, group, order, 0, written))
+def test_equals_serial_loop(spark, missing, spread, page_rounds):
+    # "spread": every group counts as too large for one task
+    spark.conf.set(ordered.SETTING, "0" if spread else str(ordered.ROWS_IN_ONE_TASK))
     runs, pages = make_runs(page_rounds + 4, 120)
     want = serial(runs, pages, missing)
     result = crawl(*frames(spark, runs, pages), missing=missing, page_rounds=page_rounds)
+    spark.conf.unset(ordered.SETTING)
     got = {(r.crawl_id, r.task_ord): (r.status, r.error, []) for r in result.tasks.collect()}
     items = result.items.orderBy("crawl_id", "task_ord", "order_key").collect()
     for r in items:
