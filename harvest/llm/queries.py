@@ -36,3 +36,32 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvest.llm.quality import quality
 
     return quality(_documents(spark, sf_dir))
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as written to frequency-ranked token files and read back."""
+    import public_tokenizers
+
+    from harvest.llm.token_files import token_files
+
+    return token_files(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from two thirds of them."""
+    from harvest.llm.language import held_out, identified, learned
+
+    docs = _documents(spark, sf_dir)
+    return identified(docs, learned(docs.where(~held_out(3, 1))))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence."""
+    import public_tokenizers
+
+    from harvest.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
