@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end: int = END
     """The pieces of every row: full ones from its start, then the rest. A null text is an empty one."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=4 << 20):
                 ids, starts = with_end(*encoder(tokenizer).encode(part.column("text")), end)
                 tokens = np.diff(starts)
                 n = -(-tokens // size)
@@ -101,7 +101,7 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, end: int = END
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=4 << 20):
                 ids, starts = with_end(*encoder(tokenizer).encode(part.column("text")), end)
                 at = starts[:-1] + part.column("start").to_numpy()
                 rows = [ids[a:a + k].astype(np.int32) for a, k in zip(at, part.column("length").to_numpy())]

@@ -65,3 +65,32 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvest.llm.packing import pack
 
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near copies of every document."""
+    from harvest.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
+
+
+SQL["op8_near_duplicates"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, string_split_regex(trim(regexp_replace(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') AS w FROM documents),
+named AS (SELECT doc_id, CASE WHEN w = [''] THEN [] ELSE w END AS w FROM words),
+sets AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END) AS s FROM named),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s
+                    AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE 100 * c >= 75 * (m.n + n.n - c)),
+reached(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d JOIN roots r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""

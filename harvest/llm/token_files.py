@@ -30,6 +30,7 @@ from harvest.session import cut_lineage, scratch_dir
 MAGIC = b"FRQ1"
 END = 2                         # id after each document
 FILE_TOKENS = 8 << 20           # tokens after which a new file is begun: about 12 MB, whole documents
+STEP = 1 << 20                  # ranks coded at once, a multiple of four
 _HEAD = "<4sQQQ"
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -39,6 +40,11 @@ _BEFORE = (np.cumsum(_LENGTHS, axis=1) - _LENGTHS).astype(np.uint8)
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and rank bytes; the last group is filled up with zeros."""
+    parts = [_encoded_step(ranks[i:i + STEP]) for i in range(0, len(ranks), STEP)]
+    return b"".join(p[0] for p in parts), b"".join(p[1] for p in parts)
+
+
+def _encoded_step(ranks: np.ndarray) -> tuple[bytes, bytes]:
     full = np.zeros(-(-len(ranks) // 4) * 4, np.uint32)
     full[:len(ranks)] = ranks
     size = 1 + (full > 0xFF).astype(np.uint8) + (full > 0xFFFF) + (full > 0xFFFFFF)
@@ -49,9 +55,19 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     """The ranks back, by lookup of each control byte's lengths and places."""
+    out, at = [], 0
+    for i in range(0, len(control), STEP // 4):
+        part = control[i:i + STEP // 4]
+        size = int(_BYTES[part].sum())
+        out.append(_decoded_step(part, data[at:at + size]))
+        at += size
+    return np.concatenate(out)[:count] if out else np.zeros(0, np.uint32)
+
+
+def _decoded_step(control: np.ndarray, data: np.ndarray) -> np.ndarray:
     begin = np.cumsum(_BYTES[control], dtype=np.int64) - _BYTES[control]
-    at = (begin[:, None] + _BEFORE[control]).ravel()[:count]
-    size = _LENGTHS[control].ravel()[:count]
+    at = (begin[:, None] + _BEFORE[control]).ravel()
+    size = _LENGTHS[control].ravel()
     padded = np.concatenate([data, np.zeros(4, np.uint8)])
     out = padded[at].astype(np.uint32)
     for k in (1, 2, 3):
@@ -101,7 +117,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=4 << 20):
                 known = encoder(tokenizer)
                 ids, starts = with_end(*known.encode(part.column("text")), end)
                 small = ids.astype("<u2") if known.tokenizer.get_vocab_size() <= 1 << 16 else ids.astype("<u4")

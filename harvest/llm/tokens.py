@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from harvest.llm.common import byte_set, strings, text_bytes
 
-CACHED_PIECES = 300_000     # pieces a worker remembers, about 60 MB
+CACHED_PIECES = 250_000     # pieces a worker remembers, about 50 MB
 
 _VISIBLE = byte_set(bytes(range(33, 127)))
 _ASCII = byte_set(bytes(range(128)))
