@@ -50,17 +50,17 @@ SPACE = byte_set(b"\x20\x09\x0a\x0b\x0c\x0d")
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of some texts: ``ids`` equal for equal words, ``first[i]`` is text i's first.
+    """Words of some texts, by default ``[^\\x20\\x09-\\x0D]+``, else runs of the bytes flagged in ``inside``: ``ids`` equal for equal words, ``first[i]`` is text i's first.
 
     ``lower`` folds A-Z. Texts without words have none; nulls count as empty texts.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, inside: np.ndarray | None = None):
         self.data, self.offsets = text_bytes(texts)
         data = self.data
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        inside = ~SPACE[data]
+        inside = ~SPACE[data] if inside is None else inside[data]
         start = inside.copy()
         if len(data):
             start[1:] &= ~inside[:-1]

@@ -94,3 +94,11 @@ roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
 FROM documents d JOIN roots r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document."""
+    from harvest.llm.decontaminate import leaks
+
+    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
