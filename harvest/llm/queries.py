@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from harvest.llm.licenses import scan_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -102,3 +104,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvest.llm.decontaminate import leaks
 
     return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements of every document."""
+    from harvest.llm.licenses import scan
+
+    return scan(_documents(spark, sf_dir)).drop("spans")
+
+
+SQL["op2_licenses"] = scan_sql()
