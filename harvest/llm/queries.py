@@ -115,3 +115,13 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op2_licenses"] = scan_sql()
+
+
+@query
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document under subword lattices."""
+    import public_tokenizers
+
+    from harvest.llm.lattice import score_documents
+
+    return score_documents(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
