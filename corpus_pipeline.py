@@ -1,20 +1,61 @@
 """Stages that turn the documents table into packed training sequences.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame,
-which is written as Parquet and read again as the next stage's docs.
+which is written as Parquet and read again as the next stage's docs. All but the last return the
+columns of documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from harvest.llm.decontaminate import clean
+from harvest.llm.language import accepted, held_out, learned
+from harvest.llm.near_duplicates import without_copies
+from harvest.llm.packing import pack
+from harvest.llm.pii import redacted
 from harvest.session import cut_lineage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
-# language, near duplicates, latent retrieval and packing have no SQL form
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a margin; learned from two thirds of them."""
+    return accepted(docs, learned(docs.where(~held_out(3, 1))))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return without_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in their sequences."""
+    return pack(docs, TOKENIZER)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+
+# compression, signatures, latent retrieval and tokens have no SQL form
 ORACLE_SQL = None
 
 

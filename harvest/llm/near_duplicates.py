@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvest.llm.common import Words, mixed, text_slices
@@ -262,3 +262,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("_group")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
                        F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but one document of each group of near copies.
+
+    The smallest id stays. Of rows that repeat an id, one stays: the one with the smallest text. Rows
+    without id stay. Only ids are shuffled: rows are dropped by an anti join with the ids to drop, and
+    the few rows of repeated ids are ordered among themselves.
+    """
+    groups = cut_lineage(near_duplicates(docs))
+    drop = groups.where("NOT kept").select(F.col("doc_id").alias("_drop")).distinct()
+    repeated = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_twice"))
+    rows = docs.join(drop, docs["doc_id"] == F.col("_drop"), "left_anti")
+    if repeated.isEmpty():
+        return rows
+    once = rows.join(repeated, rows["doc_id"] == F.col("_twice"), "left_anti")
+    twice = rows.join(repeated, rows["doc_id"] == F.col("_twice"), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[c for c, t in docs.dtypes if "map" not in t]))
+    return once.unionByName(twice.withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_at"))

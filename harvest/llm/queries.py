@@ -125,3 +125,11 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvest.llm.lattice import score_documents
 
     return score_documents(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    from harvest.llm.pii import personal_data
+
+    return personal_data(_documents(spark, sf_dir))
