@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvest.llm.spans import matches
+from harvest.llm.spans import SPANS, matches
 from harvest.session import cut_lineage
 
 # Possessive forms of the contract's patterns: the same matches in linear time on any text.
@@ -49,12 +49,10 @@ CUES = {
     "phone": "phone|tel|call|mobile|fax|cell", "local_phone": "phone|tel|call|mobile|fax|cell", "ssn": "ssn|social security",
     "iban": "iban|account|bank|konto|compte|cuenta", "secret": "token|key|secret|passw|pwd|api|auth|bearer",
 }
-CONTEXT = 32            # characters before a candidate that are searched for cues
 LABELERS = ("form", "gazetteer", "cue", "touch", "digits")
 ROUNDS = 50
 THRESHOLD = 0.5
 
-_CANDIDATES = "array<struct<kind:int,start:int,end:int,votes:string>>"
 _TOP_DOMAINS = "com|org|net|edu|gov|info|io|co|de|fr|es|uk|us|it|nl|ch|at|be|eu|ca|au|jp|cn|br|in|ru|pl|se|no|dk|fi|pt|mx|ar"
 _ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5)|35)"
 _CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
@@ -87,11 +85,8 @@ def _gazetteer(kind: str, match: Column) -> Column:
     return F.when(match.rlike(pattern), F.lit("y")).otherwise(F.lit("n")) if pattern else F.lit("-")
 
 
-def _votes(kind: str, text: Column, span: Column) -> Column:
-    match = span["match"]
-    low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.substring(text, low + 1, span["start"] - low)
-    after = F.substring(text, span["end"] + 1, F.lit(1))
+def _votes(kind: str, span: Column) -> Column:
+    match, before, after = span["match"], span["before"], span["after"]
     digits = F.regexp_replace(match, "[^0-9]", "")
     return F.concat(
         F.when(_form(kind, match), F.lit("y")).otherwise(F.lit("n")), _gazetteer(kind, match),
@@ -112,7 +107,7 @@ def candidates(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     along = ["_row"] if whole_rows else []
     gates = {"email": F.contains("_text", F.lit("@")), "phone": F.contains("_text", F.lit("+"))}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE} | {k: v[0] for k, v in FURTHER.items()}
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    none = F.array().cast(SPANS)
     rows = rows.withColumn("_digits", F.col("_text").rlike("[0-9]"))
     rows = rows.select(*along, "doc_id", "_text", *[
         F.when(gates.get(k, F.lit(True)) & (F.col("_digits") if k != "email" else F.lit(True)), matches(F.col("_text"), patterns[k]))
@@ -125,7 +120,7 @@ def candidates(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     def voted(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda m: F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
-            _votes(kind, F.col("_text"), m).alias("votes")))
+            _votes(kind, m).alias("votes")))
 
     return rows.select(*along, "doc_id", F.array_sort(F.concat(*map(valid, BASE))).alias("base"), F.concat(*map(voted, KINDS)).alias("found"))
 

@@ -7,23 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPANS = "array<struct<start:int,end:int,match:string>>"
+SPAN = "struct<start:int,end:int,match:string,before:string,after:string>"
+SPANS = f"array<{SPAN}>"
+CONTEXT = 32        # characters kept from before a match, back to the match before it at most
+_BLOCK = 256        # matches that are folded together: folds copy what they append to
 
 
 def matches(text: Column, pattern: Column | str, size: Callable[[Column], Column] = F.length) -> Column:
-    """Leftmost non-overlapping matches as (start, end, match); places are sums of ``size`` of what is before.
+    """Leftmost non-overlapping matches as ``SPANS``; places are sums of ``size`` of what is before.
 
     What lies between the matches comes from splitting by the same pattern, so both lists fit together.
+    Places are added up inside blocks first, then over the blocks, so that many matches stay cheap.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    none = F.array().cast(SPANS)
+    every = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(gaps)).alias("next"))
+    pairs = F.filter(every, lambda p: p["hit"].isNotNull())
 
     def add(state: Column, pair: Column) -> Column:
         start = state["at"] + size(pair["gap"])
         end = start + size(pair["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("match"))
+        one = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("match"),
+                       F.substring(pair["gap"], -CONTEXT, CONTEXT).alias("before"), F.substring(pair["next"], 1, 1).alias("after"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    def block(number: Column, pairs: Column) -> Column:
+        part = F.slice(pairs, number * _BLOCK + 1, F.lit(_BLOCK))
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), add)
+
+    def blocks(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _BLOCK).cast("int")), lambda b: block(b, pairs))
+
+    def shift(state: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda s: s.withField("start", s["start"] + state["at"]).withField("end", s["end"] + state["at"]))
+        return F.struct((state["at"] + part["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    none = F.array().cast(SPANS)
+    one_by_one = F.transform(F.array(pairs), lambda p: F.when(F.size(p) == 0, none).otherwise(F.aggregate(
+        blocks(p), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), shift, lambda s: F.flatten(s["out"]))))
+    return F.get(one_by_one, F.lit(0))
