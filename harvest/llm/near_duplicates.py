@@ -50,8 +50,9 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     hashes = by_word[words.ids] if len(words.ids) else np.zeros(0, np.uint64)
     n, first = words.counts, words.first
     whole = np.zeros(len(hashes), np.uint64)
-    for k in range(size):
-        whole[:len(hashes) - k] = mixed(whole[:len(hashes) - k] * _GOLDEN + hashes[k:])
+    for k in range(min(size, len(hashes))):
+        room = len(hashes) - k
+        whole[:room] = mixed(whole[:room] * _GOLDEN + hashes[k:])
     sets = []
     for a, b, count in zip(first[:-1].tolist(), first[1:].tolist(), n.tolist()):
         if count >= size:
