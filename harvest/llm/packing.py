@@ -53,7 +53,8 @@ def layout(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, i
     """Blocks (length, first rank, count, first sequence, offset) that place every piece of the histogram.
 
     A block of equal packs is a range of sequence numbers; placing a length splits off at most one
-    block, so there are at most a few for each length, whatever the number of pieces.
+    block, and new packs take as many of a length as fit, so the blocks for each length are few (at
+    most the length's share of a sequence, and those split off), whatever the number of pieces.
     """
     placed, packs, sequences = [], [], 0        # packs: heap of (filled, first sequence, count)
     for length in sorted(histogram, reverse=True):
@@ -64,13 +65,16 @@ def layout(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, i
                 used = min(left, count)
                 if used < count:
                     heapq.heappush(packs, (filled, first + used, count - used))
+                taken = 1
             else:
-                filled, first, used = 0, sequences, left
-                sequences += left
-            placed.append((length, rank, used, first, filled))
-            if filled + length < size:
-                heapq.heappush(packs, (filled + length, first, used))
-            rank, left = rank + used, left - used
+                filled, first, taken = 0, sequences, min(left, size // length)
+                used = left // taken
+                sequences += used
+            for k in range(taken):
+                placed.append((length, rank + k * used, used, first, filled + k * length))
+            if filled + taken * length < size:
+                heapq.heappush(packs, (filled + taken * length, first, used))
+            rank, left = rank + taken * used, left - taken * used
     return placed
 
 
