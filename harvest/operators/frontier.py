@@ -25,7 +25,8 @@ _UNIONS_BEFORE_REWRITE = 16
 PASSES_PER_PARSE = 16
 # Pages a core parses in the time a round takes anyway.
 PAGES_PER_ROUND_AND_CORE = 2_000
-SELECTORS_PER_SITE = 8
+# Pairs of selectors asked of one parse; a site that uses more is parsed once for each such part.
+SELECTORS_PER_PARSE = 64
 
 
 def http_error(status: Column, url: Column) -> Column:
@@ -186,20 +187,19 @@ def site_of(url: Column) -> Column:
     return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", 0)
 
 
-def site_facts(front: DataFrame, known: DataFrame, pages: DataFrame) -> DataFrame:
-    """Facts of all pages on the sites the walks stand on, read in one pass.
+def site_facts(asked: DataFrame, known: DataFrame, pages: DataFrame) -> DataFrame:
+    """Facts of all pages on sites: ``asked`` holds ``_site`` and pairs of selectors.
 
-    Sites whose walks use more than ``SELECTORS_PER_SITE`` pairs of selectors are left out; their
-    walks go on page by page.
+    Addresses meet the sites without their texts; the texts are joined by ``url`` last.
     """
-    pair = ["link_selector", "next_selector"]
-    asked = front.select(site_of(F.col("url")).alias("_site"), *pair).distinct().filter("_site <> ''")
-    few = asked.groupBy("_site").count().filter(F.col("count") <= SELECTORS_PER_SITE).select("_site")
-    asked = cut_lineage(
-        asked.join(few, "_site", "left_semi").groupBy("_site")
-        .agg(F.collect_list(F.struct(*pair)).alias("pairs")))
-    keyed = pages.withColumn("_site", site_of(F.col("url"))).join(asked, "_site").drop("_site")
-    return facts_of(keyed).join(known, LINK_KEY, "left_anti")
+    pair = F.struct("link_selector", "next_selector")
+    parts = F.greatest(F.ceil(F.count("*") / SELECTORS_PER_PARSE), F.lit(1)).alias("_parts")
+    numbered = asked.join(asked.groupBy("_site").agg(parts), "_site")
+    grouped = cut_lineage(
+        numbered.groupBy("_site", F.pmod(F.xxhash64(pair), F.col("_parts")).alias("_part"))
+        .agg(F.collect_list(pair).alias("pairs")).drop("_part"))
+    addresses = pages.select("url", site_of(F.col("url")).alias("_site")).join(grouped, "_site").drop("_site")
+    return facts_of(pages.join(addresses, "url")).join(known, LINK_KEY, "left_anti")
 
 
 def walk_known(front: DataFrame, known: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def walk_listings(
     whole sites, and the walks run over those by doubling jumps. That happens after
     ``page_rounds``; by default once the rounds have cost as much as that pass will, so that the
     whole costs at most about twice the better way. Walks that leave their site stop at the
-    first unknown page and go on from there.
+    first unknown page; every site newly reached is then read whole as well, once.
     """
     start = [*TASK, "order_key"]
     shape = [*start, "url", "link_selector", "next_selector", "max_pages", "page_no"]
@@ -250,8 +250,8 @@ def walk_listings(
         starts.withColumn("page_no", F.lit(0))
         .withColumn("next_selector", F.coalesce("next_selector", F.lit("")))
         .filter("max_pages IS NULL OR max_pages > 0").select(shape))
-    facts, visits, rounds = _Pieces(), _Pieces(), 0
-    jumping, site_read = page_rounds == 0, False
+    facts, visits, sites, rounds = _Pieces(), _Pieces(), _Pieces(), 0
+    jumping = page_rounds == 0
     round_cost = site_cost = None
     while True:
         keys = front.select(*LINK_KEY).distinct()
@@ -259,9 +259,15 @@ def walk_listings(
             keys = keys.join(facts.all(), LINK_KEY, "left_anti")
         known = facts.add(cut_lineage(link_facts(keys, pages)))
         ahead = jumping
-        if ahead and not site_read:
-            known = facts.add(cut_lineage(site_facts(front, known, pages)))
-            site_read = True
+        if ahead:
+            asked = front.select(
+                site_of(F.col("url")).alias("_site"), "link_selector", "next_selector").distinct().filter("_site <> ''")
+            if sites.parts:
+                asked = asked.join(sites.all(), ["_site", "link_selector", "next_selector"], "left_anti")
+            asked = cut_lineage(asked)
+            if not asked.isEmpty():
+                known = facts.add(cut_lineage(site_facts(asked, known, pages)))
+                sites.add(asked)
         walked = front
         if ahead:
             walked = walk_known(front, known)
@@ -367,42 +373,55 @@ def claim_requests(requests: DataFrame) -> DataFrame:
     """Which task fetches which address, as if tasks ran one after the other by ``task_ord``.
 
     ``requests`` (a stored table): task columns, ``order_key, key, fetch_limit, weight,
-    dedup_enabled``, each key once per task where de-duplication is on, and nothing behind a
-    task's first failing address.
+    dedup_enabled``, each key once per task where de-duplication is on; ``ends`` marks requests
+    behind which a task makes no other, ``holds`` those that keep their key from higher tasks.
 
     In rounds: every task proposes its first requests within its limit; a key belongs to the
     lowest task proposing it; every request of a higher task for such a key is rejected, whether
     proposed or not. The first task is never rejected, and no task gives a key back, so this
     ends with the serial result. Without limits the first round is already final.
     """
-    bounded = not requests.filter("fetch_limit IS NOT NULL").isEmpty()
-    contested = bounded and not requests.filter(
-        "dedup_enabled AND fetch_limit IS NOT NULL").isEmpty()
-    live, size = requests, requests.count()
+    cut_short = requests.filter("ends").select(*TASK).distinct().withColumn("_cut", F.lit(True))
+    requests = requests.join(cut_short, TASK, "left").withColumn(
+        "bounded", F.col("fetch_limit").isNotNull() | F.col("_cut").isNotNull()).drop("_cut")
+    live = cut_lineage(requests)
+    counts = live.agg(F.count_if(F.col("bounded")).alias("b"), F.count_if(F.col("bounded") & F.col("dedup_enabled")).alias("c")).first()
+    bounded, contested = counts["b"] > 0, counts["c"] > 0
+
+    def proposals(live: DataFrame) -> DataFrame:
+        if not bounded:
+            return live
+        counted = OrderedGroups(live.filter("bounded"), TASK, ["order_key"], written=True)
+        counted = counted.running("_until", F.col("weight").cast("long")).running(
+            "_ends", F.col("ends").cast("long")).frame()
+        within = (
+            (F.col("fetch_limit").isNull() | (F.col("_until") - F.col("weight") < F.col("fetch_limit")))
+            & (F.col("_ends") - F.col("ends").cast("long") == 0))
+        return cut_lineage(live.filter("NOT bounded").unionByName(counted.filter(within).drop("_until", "_ends")))
+
+    def not_rejected(rows: DataFrame, holders: DataFrame) -> DataFrame:
+        return (
+            rows.join(holders, ["crawl_id", "key"], "left")
+            .filter("holder IS NULL OR NOT dedup_enabled OR task_ord <= holder").drop("holder"))
+
+    settled = _Pieces()
     while True:
-        proposed = live
-        if bounded:
-            counted = OrderedGroups(
-                live.filter("fetch_limit IS NOT NULL"), TASK, ["order_key"], written=True)
-            counted = counted.running("_until", F.col("weight").cast("long")).frame()
-            proposed = cut_lineage(live.filter("fetch_limit IS NULL").unionByName(
-                counted.filter("_until - weight < fetch_limit").drop("_until")))
+        proposed = proposals(live)
         holders = (
-            proposed.filter("dedup_enabled").groupBy("crawl_id", "key")
+            proposed.filter("dedup_enabled AND holds").groupBy("crawl_id", "key")
             .agg(F.min("task_ord").alias("holder")))
-
-        def not_rejected(rows: DataFrame, holders: DataFrame = holders) -> DataFrame:
-            return (
-                rows.join(holders, ["crawl_id", "key"], "left")
-                .filter("holder IS NULL OR NOT dedup_enabled OR task_ord <= holder").drop("holder"))
-
         if not contested:
-            return not_rejected(proposed)
-        live = cut_lineage(not_rejected(live))
-        left = live.count()
-        if left == size:
-            return proposed
-        size = left
+            return not_rejected(proposed, holders).drop("bounded")
+        left = cut_lineage(not_rejected(live, holders))
+        # runs without a rejection are final: they leave the rounds
+        lost = live.groupBy("crawl_id").count().join(
+            left.groupBy("crawl_id").agg(F.count("*").alias("left")), "crawl_id", "left").filter(
+            "coalesce(left, 0) < count").select("crawl_id")
+        lost = cut_lineage(lost)
+        settled.add(cut_lineage(proposed.join(lost, "crawl_id", "left_anti")))
+        if lost.isEmpty():
+            return settled.all().drop("bounded")
+        live = cut_lineage(left.join(lost, "crawl_id", "left_semi"))
 
 
 __all__ = [

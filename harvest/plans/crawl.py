@@ -19,7 +19,6 @@ from harvest.session import cut_lineage
 
 
 _AFTER_LISTINGS = 1_000_000     # stage number behind all link levels
-_ENDLESS = 1 << 50              # more records than any limit
 
 
 def _prepared(tasks: DataFrame) -> DataFrame:
@@ -137,34 +136,21 @@ def crawl(
         wanted = cut_lineage(wanted.fillna(0, ["weight"]))
         records = records.filter("extract_error IS NULL").drop("extract_error")
 
-    stops = (
-        wanted.filter("fetch_error IS NOT NULL").groupBy(*TASK)
-        .agg(F.min(F.struct("order_key", "fetch_error")).alias("stop"))
-        .select(*TASK, F.col("stop.order_key").alias("stop_at"), F.col("stop.fetch_error").alias("stop_error")))
-    spoilt_tasks = wanted.filter("spoilt IS NOT NULL").select(*TASK, F.lit(True).alias("_spoilt")).distinct()
-    # A direct request is made whatever its limit. An address whose extraction fails ends its task:
-    # it weighs more than any limit, so it may be asked for but nothing behind it.
+    # A direct request is made whatever its limit. An address that fails, or whose extraction fails,
+    # ends its task unless a lower task holds its key; one that can't be fetched holds no key itself.
     limit = F.when(F.col("levels") > 0, F.col("max_items").cast("long"))
-    before_stop = (
-        wanted.join(stops.select(*TASK, "stop_at"), TASK, "left").join(spoilt_tasks, TASK, "left")
-        .filter("stop_at IS NULL OR order_key < stop_at")
-        .withColumn("fetch_limit", F.coalesce(limit, F.when(F.col("_spoilt"), F.lit(_ENDLESS))))
-        .withColumn("weight", F.when(F.col("spoilt").isNotNull(), F.lit(_ENDLESS)).otherwise(F.col("weight")))
-        .drop("stop_at", "fetch_error", "_spoilt"))
-    claims = cut_lineage(claim_requests(cut_lineage(before_stop)))
-
-    used = claims.groupBy(*TASK).agg(F.sum("weight").alias("records"))
-    fetching = F.lit(_AFTER_LISTINGS).alias("stage")
-    stopped = (
-        stops.join(tasks.select(*TASK, "levels", "max_items"), TASK).join(used, TASK, "left")
-        .filter("levels = 0 OR max_items IS NULL OR coalesce(records, 0) < max_items")
-        .select(*TASK, fetching, F.col("stop_at").alias("at"), F.col("stop_error").alias("error")))
-    spoilt = claims.filter("spoilt IS NOT NULL").select(
-        *TASK, fetching, F.col("order_key").alias("at"), F.col("spoilt").alias("error"))
+    requests = wanted.withColumns({
+        "fetch_limit": limit, "weight": F.when(F.col("fetch_error").isNull(), F.col("weight")).otherwise(0),
+        "ends": F.col("fetch_error").isNotNull() | F.col("spoilt").isNotNull(), "holds": F.col("fetch_error").isNull()})
+    claims = cut_lineage(claim_requests(cut_lineage(requests)))
+
+    failures = claims.filter("ends").select(
+        *TASK, F.lit(_AFTER_LISTINGS).alias("stage"), F.col("order_key").alias("at"),
+        F.coalesce("fetch_error", "spoilt").alias("error"))
     refused = tasks.filter("config_error IS NOT NULL").select(
         *TASK, F.lit(-1).alias("stage"), F.array().cast("array<int>").alias("at"),
         F.col("config_error").alias("error"))
-    failures = cut_lineage(union_frontiers(listing_failures, stopped, spoilt, refused))
+    failures = cut_lineage(union_frontiers(listing_failures, failures, refused))
 
     good = claims.join(failures.select(*TASK), TASK, "left_anti")
     if extractor is None:

@@ -42,7 +42,7 @@ class Failed(Exception):
     pass
 
 
-def serial(runs, pages, missing, size=None):
+def serial(runs, pages, missing, size=None, key=lambda url: url):
     def get(url):
         if url not in pages:
             if missing == "fail":
@@ -60,10 +60,10 @@ def serial(runs, pages, missing, size=None):
             items = []
 
             def record(url):
-                if run["dedup"] and url in seen:
+                if run["dedup"] and key(url) in seen:
                     return
                 get(url)
-                seen.add(url)
+                seen.add(key(url))
                 if task["title"] == BAD:
                     raise Failed(BAD_TEXT)
                 if size is None:
@@ -213,3 +213,52 @@ def test_partitioning_does_not_matter(spark):
             got[r.crawl_id, r.task_ord][2].append(r.url)
         assert got == want
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_keys_whose_addresses_differ_in_status(spark):
+    """Many addresses share a key; a failing one that a lower task holds is skipped, not reported."""
+    runs, pages = make_runs(31, 80)
+
+    def key(url):
+        return str(sum(map(ord, url)) % 23)
+
+    want = serial(runs, pages, "fail", key=key)
+    tasks, stored = frames(spark, runs, pages)
+    result = crawl(tasks, stored, dedup_key=lambda url: F.aggregate(
+        F.transform(F.filter(F.split(url, ""), lambda c: c != ""), lambda c: F.ascii(c)), F.lit(0), lambda a, b: a + b) % 23)
+    got = {(r.crawl_id, r.task_ord): (r.status, r.error, []) for r in result.tasks.collect()}
+    for r in result.items.orderBy("crawl_id", "task_ord", "order_key").collect():
+        got[r.crawl_id, r.task_ord][2].append(r.url)
+    assert got == want
+
+
+def test_a_spoilt_task_with_many_addresses_fails_alone(spark):
+    """More than 8,192 addresses of a task whose selector is invalid."""
+    links = [f"https://x.test/d{i}" for i in range(9_000)]
+    runs = [{"id": "r", "dedup": True, "tasks": [
+        {"order": k, "url": "https://x.test/", "levels": ["a"], "limit": None, "max_pages": None, "follow": False,
+         "title": BAD if k == 0 else None} for k in range(2)]}]
+    pages = {"https://x.test/": (200, {"a": links, "b": []}, None)} | {u: (200, {"a": [], "b": []}, None) for u in links}
+    result = crawl(*frames(spark, runs, pages))
+    assert [(r.status, r.item_count) for r in result.tasks.orderBy("task_ord").collect()] == [("failed", 0), ("success", 8_999)]
+
+
+@pytest.mark.parametrize("kinds, hosts", [(12, 1), (1, 2)])
+def test_long_paginations_take_few_rounds(spark, monkeypatch, kinds, hosts):
+    """200 chained pages: many selector pairs on one site, or a chain that changes hosts on its way."""
+    from harvest.operators import frontier
+
+    def at(i):
+        return f"https://h{i * hosts // 200}.test/p{i}"
+
+    body = "".join(f'<a class="k{k}" href="https://x.test/{k}">x</a>' for k in range(kinds))
+    rows = [(at(i), 200, body + (f'<a class="next" href="{at(i + 1)}">n</a>' if i < 199 else "")) for i in range(200)]
+    pages = as_pages(spark.createDataFrame(rows, "url string, status_code int, html string"))
+    starts = spark.createDataFrame([("r", k, [], at(0), f".k{k}", "a.next", None) for k in range(kinds)], (
+        "crawl_id string, task_ord int, order_key array<int>, url string, link_selector string, next_selector string, max_pages int"))
+    calls = []
+    one = frontier.link_facts
+    monkeypatch.setattr(frontier, "link_facts", lambda *a: calls.append(1) or one(*a))
+    visits, _ = frontier.walk_listings(starts, pages, "fail", page_rounds=0)
+    assert visits.count() == 200 * kinds and visits.agg(F.max("page_no")).first()[0] == 199
+    assert len(calls) <= 8 + 6
