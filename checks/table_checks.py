@@ -161,11 +161,11 @@ def _(t):
 
 @check("resolve_attempts", """
 SELECT request_id, CASE WHEN e.status_code < 400 THEN 'ok' ELSE 'failed' END AS outcome, e.status_code AS status_code,
-       CASE WHEN e.status_code >= 400 THEN concat('HTTP ', CAST(e.status_code AS VARCHAR)) ELSE e.error END AS error,
+       CASE WHEN e.status_code >= 400 THEN concat('HTTP ', CAST(e.status_code AS VARCHAR), ': ', e.url) ELSE e.error END AS error,
        CAST(e.attempt + 1 AS BIGINT) AS attempts, CAST(e.attempt * 2.0 AS DOUBLE) AS waited
 FROM (SELECT request_id, coalesce(
-        arg_min({'attempt': attempt, 'status_code': status_code, 'error': error}, attempt) FILTER (status_code < 500),
-        arg_max({'attempt': attempt, 'status_code': status_code, 'error': error}, attempt)) AS e
+        arg_min({'attempt': attempt, 'status_code': status_code, 'error': error, 'url': url}, attempt) FILTER (status_code < 500),
+        arg_max({'attempt': attempt, 'status_code': status_code, 'error': error, 'url': url}, attempt)) AS e
       FROM v_attempts WHERE attempt <= 3 GROUP BY request_id) q""")
 def _(t):
     return O.resolve_attempts(t.attempts, retry_max=3, retry_delay=2.0)

@@ -53,7 +53,7 @@ _VIEWS = {
     "v_data": _DATA.format(**_NAMES),
     "v_logs": _LOGS.format(**_NAMES),
     "v_attempts": """
-SELECT user_id AS request_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS attempt,
+SELECT user_id AS request_id, concat('https://x.test/', CAST(user_id AS VARCHAR)) AS url, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS attempt,
        CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 WHEN 'purchase' THEN NULL
             ELSE 200 END AS status_code,
        CASE WHEN event_type = 'purchase' THEN 'timeout' END AS error
@@ -123,7 +123,7 @@ class Tables:
         events = self.raw("events").select("user_id", "ts", "event_id", "event_type")
         numbered = number_rows(events, ["user_id"], ["ts", "event_id"], "n")
         return numbered.selectExpr(
-            "user_id AS request_id", "n - 1 AS attempt",
+            "user_id AS request_id", "concat('https://x.test/', CAST(user_id AS STRING)) AS url", "n - 1 AS attempt",
             "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 "
             "WHEN 'purchase' THEN NULL ELSE 200 END AS status_code",
             "CASE WHEN event_type = 'purchase' THEN 'timeout' END AS error")

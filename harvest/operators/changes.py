@@ -6,7 +6,7 @@ keys and expressions go into its clauses.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvest.functions.text import record_id
@@ -40,16 +40,15 @@ def finish_tasks(tasks: DataFrame, results: DataFrame) -> DataFrame:
 def insert_new(table: DataFrame, rows: DataFrame, seq: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Add the rows whose id is new; the second result are the conflicts (409).
 
-    Among rows with the same new id the first by ``seq`` wins and the others are conflicts.
+    Among rows with the same new id the first by ``seq``, then by content, wins; the others are
+    conflicts.
     """
     ids = table.select("id")
-    fresh = rows.join(ids, "id", "left_anti")
-    clash = rows.join(ids, "id", "left_semi")
-    if seq is not None:
-        first = fresh.groupBy("id").agg(F.min(seq).alias("_first"))
-        ranked = fresh.join(first, "id")
-        fresh = ranked.filter(F.col(seq) == F.col("_first")).drop("_first")
-        clash = clash.unionByName(ranked.filter(F.col(seq) > F.col("_first")).drop("_first"))
+    order = ([F.col(seq)] if seq else []) + [F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))]
+    numbered = rows.join(ids, "id", "left_anti").withColumn(
+        "_n", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+    fresh = numbered.filter("_n = 1").drop("_n")
+    clash = rows.join(ids, "id", "left_semi").unionByName(numbered.filter("_n > 1").drop("_n"))
     shape = [c for c in fresh.columns if c in table.columns]
     return table.unionByName(fresh.select(shape), allowMissingColumns=True), clash
 
@@ -69,19 +68,32 @@ def insert_lines(
 
 def patch(
     table: DataFrame, changes: DataFrame, now: Column, fields: list[str],
-) -> tuple[DataFrame, DataFrame]:
-    """Change the fields present in each change (``id``, ``changes map<string,string>``, one row
-    per id); a present null overwrites. ``updated_at`` becomes ``now``. Only ``fields`` can be
-    changed. Second result: changes for ids that do not exist (404)."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Change the fields present in each change (``id``, ``changes map<string,string>``); a present
+    null overwrites. ``updated_at`` becomes ``now``. Only ``fields`` can be changed, never ``id``.
+
+    Second result: changes for ids that do not exist (404). Third: changes not made, because a value
+    doesn't fit its field or an earlier one (by content) changes the same id (422).
+    """
+    if {"id", "type"} & set(fields):
+        raise ValueError("id and type can't be changed")
     kinds = dict(table.dtypes)
-    joined = table.join(changes.select("id", F.col("changes").alias("_c")), "id", "left")
+    value = {name: F.element_at("changes", name).try_cast(kinds[name]) for name in fields}
+    wrong = [F.element_at("changes", name).isNotNull() & value[name].isNull() for name in fields]
+    bad = F.coalesce(F.array_max(F.array(*wrong)), F.lit(False)) if wrong else F.lit(False)
+    first = Window.partitionBy("id").orderBy("_bad", F.to_json("changes"))
+    judged = changes.withColumn("_bad", bad).withColumn("_n", F.row_number().over(first)).join(
+        table.select("id"), "id", "left_semi")
+    made = judged.filter("NOT _bad AND _n = 1").select("id", F.col("changes").alias("_c"))
+    joined = table.join(made, "id", "left")
     touched = F.col("_c").isNotNull()
     values = {name: F.when(
         touched & F.map_contains_key("_c", name),
-        F.element_at("_c", name).cast(kinds[name])).otherwise(F.col(name)) for name in fields}
+        F.element_at("_c", name).try_cast(kinds[name])).otherwise(F.col(name)) for name in fields}
     values["updated_at"] = F.when(touched, now).otherwise(F.col("updated_at"))
     out = joined.select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
-    return out, changes.join(table.select("id"), "id", "left_anti")
+    refused = judged.filter("_bad OR _n > 1").drop("_bad", "_n")
+    return out, changes.join(table.select("id"), "id", "left_anti"), refused
 
 
 def delete(

@@ -48,7 +48,7 @@ def presets(spark: SparkSession) -> DataFrame:
 
 
 def with_preset(sources: DataFrame) -> DataFrame:
-    """Each source with the defaults of its type in a struct ``preset``.
+    """Each source with the defaults of its type in a struct ``preset``; null for an unknown type.
 
     The five preset rows are a constant, so they are sent to every task whatever the data size.
     """
@@ -56,7 +56,7 @@ def with_preset(sources: DataFrame) -> DataFrame:
     packed = table.select(
         F.col("source_type").alias("type"),
         F.struct(*[c for c in table.columns if c != "source_type"]).alias("preset"))
-    return sources.join(F.broadcast(packed), "type")
+    return sources.join(F.broadcast(packed), "type", "left")
 
 
 def with_default_lines(sources: DataFrame) -> DataFrame:
@@ -190,10 +190,11 @@ def resolve_run_config(sources: DataFrame) -> DataFrame:
     kept = [c for c in ("id", "name", "url", "lines") if c in sources.columns]
     settings = [pick(name) for name in _OPTION_TYPES]
     problems = F.array_join(F.array_compact(F.array(*wrong)), ", ")
+    unknown = F.when(F.col("preset").isNull(), F.concat(F.lit("unknown source type: "), F.coalesce("type", F.lit("none"))))
     return merged.select(
         run.alias("crawl_id"), *kept, "type", "headers", *settings,
         _json_map(F.element_at(layer["overrides"], "meta")).alias("run_meta"),
-        F.when(problems != "", F.concat(F.lit("invalid setting: "), problems)).alias("config_error"))
+        F.coalesce(unknown, F.when(problems != "", F.concat(F.lit("invalid setting: "), problems))).alias("config_error"))
 
 
 def _typed(text: Column, kind: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvest.operators.ordered import OrderedGroups
@@ -10,26 +10,30 @@ from harvest.operators.ordered import OrderedGroups
 TASK = ["crawl_id", "task_ord"]
 
 
-def resolve_attempts(log: DataFrame, retry_max: int = 3, retry_delay: float = 1.0) -> DataFrame:
-    """Fold an attempt log (``request_id, attempt, status_code, error``) to one row per request.
+def resolve_attempts(
+    log: DataFrame, retry_max: int | Column = 3, retry_delay: float | Column = 1.0,
+) -> DataFrame:
+    """Fold an attempt log (``request_id, url, attempt, status_code, error``) to one row per request.
 
     Below 400 succeeds and 4xx fails at once; 5xx and errors are tried again, ``retry_max`` times
-    at most, after a fixed delay each time. An exhausted request ends with its last attempt.
+    at most, after a fixed delay each time. An exhausted request ends with its last attempt. Both
+    settings may be columns of the log, one value per request.
     """
     final = F.col("status_code") < 500
-    tried = log.filter(F.col("attempt") <= retry_max)
+    delay = retry_delay if isinstance(retry_delay, Column) else F.lit(float(retry_delay))
+    tried = log.filter(F.col("attempt") <= retry_max).withColumn("_delay", delay)
+    row = F.struct("attempt", "status_code", "error", "url", "_delay")
     folded = tried.groupBy("request_id").agg(
-        F.min_by(F.struct("attempt", "status_code", "error"), F.when(final, F.col("attempt"))).alias("hit"),
-        F.max_by(F.struct("attempt", "status_code", "error"), "attempt").alias("last"))
+        F.min_by(row, F.when(final, F.col("attempt"))).alias("hit"), F.max_by(row, "attempt").alias("last"))
     ended = F.coalesce("hit", "last")
     return folded.select("request_id", ended.alias("e")).select(
         "request_id",
         F.when(F.col("e.status_code") < 400, "ok").otherwise("failed").alias("outcome"),
         F.col("e.status_code").alias("status_code"),
-        F.when(F.col("e.status_code") >= 400, F.concat(F.lit("HTTP "), F.col("e.status_code").cast("string")))
+        F.when(F.col("e.status_code") >= 400, F.format_string("HTTP %d: %s", "e.status_code", "e.url"))
         .otherwise(F.col("e.error")).alias("error"),
         (F.col("e.attempt") + 1).cast("long").alias("attempts"),
-        (F.col("e.attempt") * F.lit(float(retry_delay))).alias("waited"),
+        (F.col("e.attempt") * F.col("e._delay")).alias("waited"),
     )
 
 

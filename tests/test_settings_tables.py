@@ -119,16 +119,16 @@ def test_redirected_record_keeps_the_response_address(spark):
 
 @pytest.mark.parametrize("attempts, retry_max, want", [
     ([500, 200], 2, ("ok", 200, None, 2)),
-    ([500, 500, 500, 500], 3, ("failed", 500, "HTTP 500", 4)),
+    ([500, 500, 500, 500], 3, ("failed", 500, "HTTP 500: https://x.test/r", 4)),
     (["refused", 200], 2, ("ok", 200, None, 2)),
     (["timeout", "timeout", 200], 1, ("failed", None, "timeout", 2)),
-    ([404, 200], 3, ("failed", 404, "HTTP 404", 1)),
-    ([503, 200], 0, ("failed", 503, "HTTP 503", 1)),
+    ([404, 200], 3, ("failed", 404, "HTTP 404: https://x.test/r", 1)),
+    ([503, 200], 0, ("failed", 503, "HTTP 503: https://x.test/r", 1)),
 ])
 def test_attempts(spark, attempts, retry_max, want):
-    rows = [("r", n, None if isinstance(a, str) else a, a if isinstance(a, str) else None)
+    rows = [("r", "https://x.test/r", n, None if isinstance(a, str) else a, a if isinstance(a, str) else None)
             for n, a in enumerate(attempts)]
-    log = spark.createDataFrame(rows, "request_id string, attempt int, status_code int, error string")
+    log = spark.createDataFrame(rows, "request_id string, url string, attempt int, status_code int, error string")
     row = O.resolve_attempts(log, retry_max).first()
     assert (row.outcome, row.status_code, row.error, row.attempts) == want
 
@@ -195,3 +195,33 @@ def test_status_board_over_several_batches_and_a_restart(spark, tmp_path):
     again.absorb(later, 1)
     assert again.counts().first().asDict() == {
         "task_count": 2, "pending": 0, "running": 1, "success": 1, "failed": 0}
+
+
+def test_new_rows_of_one_id_are_folded(spark):
+    from harvest.operators import changes as M
+
+    table = spark.createDataFrame([("a", "old")], "id string, name string")
+    rows = spark.createDataFrame([("a", "x"), ("b", "2"), ("b", "1"), ("b", "1"), ("c", None)], "id string, name string")
+    new, clash = M.insert_new(table, rows)
+    assert sorted((r.id, r.name) for r in new.collect()) == [("a", "old"), ("b", "1"), ("c", None)]
+    assert sorted((r.id, r.name) for r in clash.collect()) == [("a", "x"), ("b", "1"), ("b", "2")]
+
+
+def test_a_bad_value_refuses_its_change_only(spark):
+    from harvest.operators import changes as M
+
+    table = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("c", 3, None)], "id string, n int, updated_at timestamp")
+    rows = spark.createDataFrame([("a", {"n": "x"}), ("b", {"n": "7"}), ("b", {"n": "8"}), ("z", {"n": "1"}), ("c", {"n": None})],
+                                 "id string, changes map<string,string>")
+    now = F.lit("2024-01-01").cast("timestamp")
+    out, missing, refused = M.patch(table, rows, now, ["n"])
+    assert sorted((r.id, r.n) for r in out.collect()) == [("a", 1), ("b", 7), ("c", None)]
+    assert [r.id for r in missing.collect()] == ["z"] and sorted(r.id for r in refused.collect()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        M.patch(table, rows, now, ["id"])
+
+
+def test_an_unknown_type_is_an_error_of_its_source(spark):
+    sources = spark.createDataFrame([("s", "website"), ("t", "fax"), ("u", None)], "id string, type string")
+    got = {r.id: r.config_error for r in C.resolve_run_config(C.with_run_options(sources)).collect()}
+    assert got == {"s": None, "t": "unknown source type: fax", "u": "unknown source type: none"}
