@@ -245,7 +245,8 @@ def _(t):
     return rows.unionByName(logs)
 
 
-def _job(t):
+def _job(t, tasks=None, twice=False):
+    """The job over all sources; again over ``tasks`` with every trigger ``twice``."""
     def run():
         meta = ('{"extractor_config":{"link_selectors":[".list a"],"title_selector":"h1.title",'
                 '"next_page_selector":"a.next-page","max_pages":2}}')
@@ -259,9 +260,10 @@ def _job(t):
             F.lit("").alias("error"), *[F.lit(None).cast("timestamp").alias(c) for c in (
                 "started_at", "finished_at", "created_at")])
         folder = t.new_folder()
-        job = run_job(triggers, sources, lines, none, t.site(), folder, F.lit(_NOW).cast("timestamp"))
+        given = triggers.unionByName(triggers) if twice else triggers
+        job = run_job(given, sources, lines, none if tasks is None else tasks, t.site(), folder, F.lit(_NOW).cast("timestamp"))
         return job, folder
-    return kept(t, "job", run)
+    return run() if twice else kept(t, "job", run)
 
 
 @check("run_job", """
@@ -278,6 +280,19 @@ def _(t):
     return _job(t)[0].answers.select("source_id", "code")
 
 
+@check("run_job_again", """
+SELECT id AS source_id, CASE WHEN id = 'src19' THEN 400 ELSE 409 END AS code, CAST(2 AS BIGINT) AS answers, CAST(0 AS BIGINT) AS records
+FROM v_sources UNION ALL SELECT concat('x', id), 404, 2, 0 FROM v_sources""")
+def _(t):
+    # the same triggers once more, each twice: nothing runs and nothing is stored again
+    job, first = _job(t)
+    again, folder = _job(t, t.stored(job.tasks), twice=True)
+    kinds = t.spark.read.parquet(f"{first}/collected_data").schema
+    records = t.spark.read.schema(kinds).parquet(f"{folder}/collected_data").groupBy("source_id").agg(F.count("*").alias("records"))
+    return again.answers.groupBy("source_id", "code").agg(F.count("*").alias("answers")).join(records, "source_id", "left").select(
+        "source_id", "code", "answers", F.coalesce("records", F.lit(0)).cast("long").alias("records"))
+
+
 @check("run_job_data", """
 SELECT source AS source_id, concat(source, '-l0') AS line_id, url, concat('Doc ', CAST(doc_id AS VARCHAR)) AS title
 FROM x_docs WHERE r <= 20 AND source <> 'src19'""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvest.operators.catalog import validate_triggers
@@ -57,17 +57,30 @@ class JobResult:
     result: CrawlResult
 
 
+def _new_only(answers: DataFrame, given: list[str], tasks: DataFrame) -> DataFrame:
+    """Answers with 409 for an accepted trigger whose task exists, or that repeats another one."""
+    key = task_key()
+    first = Window.partitionBy("_key").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in given])))
+    there = tasks.select(F.col("id").alias("_key")).distinct().withColumn("_there", F.lit(True))
+    numbered = answers.withColumn("_key", key).withColumn("_n", F.row_number().over(first)).join(there, "_key", "left")
+    again = (F.col("code") == 201) & (F.col("_there").isNotNull() | (F.col("_n") > 1))
+    return numbered.withColumns({
+        "reason": F.when(again, F.lit("Task exists already")).otherwise(F.col("reason")),
+        "code": F.when(again, F.lit(409)).otherwise(F.col("code"))}).drop("_key", "_n", "_there")
+
+
 def run_job(
     triggers: DataFrame, sources: DataFrame, lines: DataFrame, tasks: DataFrame, pages: DataFrame,
     folder: str, now: Column, missing: str = "fail",
 ) -> JobResult:
     """Check triggers (``trigger_id, source_id``, optional ``overrides`` JSON), enter their tasks
     as running, run the accepted ones together, store records and logs, finish the tasks. A run
-    whose settings are invalid is not started: its task and log say why.
+    whose settings are invalid is not started: its task and log say why. A trigger whose task
+    exists, or that comes twice, is answered 409 and not run again.
 
     ``lines`` needs ``line_ord``. The caller writes ``JobResult.tasks`` as the new task table.
     """
-    answers = cut_lineage(validate_triggers(triggers, sources, lines))
+    answers = cut_lineage(_new_only(validate_triggers(triggers, sources, lines), triggers.columns, tasks))
     accepted = answers.filter("code = 201")
     started = cut_lineage(new_tasks(accepted, now))
     opened, _ = insert_new(tasks, started)
