@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvest.llm.common import Words, mixed, text_slices
+from harvest.llm.common import Words, bounded_batches, mixed, text_slices
 from harvest.llm.language import held_out
 from harvest.session import cut_lineage
 
@@ -243,7 +243,7 @@ def _scored(docs: DataFrame, often: dict[str, np.ndarray], bottom: float, modulu
                 ones, none = np.ones(n, np.int64), pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[:, 0]), pa.array(key[:, 1]), part.column("doc_id"), pa.array(ones), pa.array(words.counts + 1),
-                     pa.array(add[0].astype(np.int64)), pa.array(add[1]), pa.array(add[2]), none, none, none], names=_NAMES)
+                     pa.array(add[0].astype(np.int64)), pa.array(add[1], pa.float64()), pa.array(add[2], pa.float64()), none, none, none], names=_NAMES)
                 k, zero = len(row), np.zeros(len(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[doc, 0]), pa.array(key[doc, 1]), part.column("doc_id").take(pa.array(doc)), pa.array(np.zeros(k, np.int64)),
@@ -264,6 +264,7 @@ def score_documents(docs: DataFrame, path: str, modulus: int = 7, rest: int = 2,
     out. A null or empty text is an end alone. Repeated rows get a row each with the same scores. With
     nothing to learn from, counts are zero and the pieces keep their first probabilities.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     words = cut_lineage(word_counts(docs, modulus, rest))
     ends = docs.where(~held_out(modulus, rest)).count()
@@ -272,7 +273,13 @@ def score_documents(docs: DataFrame, path: str, modulus: int = 7, rest: int = 2,
     bottom = float(np.log10(tokens + distinct + 1))
     model = trained(words, ends, vocabulary(path))
     scores = cut_lineage(word_scores(words, model))
-    top = scores.orderBy(F.desc("n"), "hi", "lo").limit(sent_words).toArrow()        # a fixed number of rows
+    room, least = sent_words, None                                  # words that occur ``least`` times or more fit
+    for r in scores.groupBy("n").count().orderBy(F.desc("n")).limit(sent_words).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["n"]
+    top = (scores.where(F.col("n") >= least) if least is not None else scores.limit(0)).toArrow()      # at most ``sent_words`` rows
     order = np.argsort(top["lo"].to_numpy())
     often = {k: top[k].to_numpy()[order] for k in ("hi", "lo", "c", "lp")}
     parts = cut_lineage(_scored(docs, often, bottom, modulus, rest))
