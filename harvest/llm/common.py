@@ -7,8 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 8 << 20       # text handled at once by one task; a longer single text is one slice
+SLICE_BYTES = 4 << 20       # text handled at once by one task; a longer single text is one slice
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold no more than a slice, unless the session sets its own bound.
+
+    By default a batch may hold 64 MB, several times over on either side of the pipe to Python.
+    """
+    if spark.conf.get(_BATCH, None) in (None, "64MB", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, f"{SLICE_BYTES}b")
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvest.llm.common import text_slices
+from harvest.llm.common import bounded_batches, text_slices
 
 SAMPLE_TEXTS = 300      # training texts of a language's dictionary at most
 SAMPLE_CHARS = 1_500    # characters taken from each, from a place given by the text's hash
@@ -45,6 +45,7 @@ def learned(docs: DataFrame, sample: int = SAMPLE_TEXTS) -> Model:
     The sample is bounded: ``sample`` distinct texts a language, those with the smallest hashes. Rows
     are thinned by that hash before anything is gathered; copies of one text count once.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(
         F.col("lang").alias("_lang"), F.col("text").alias("_text"), F.xxhash64("text").alias("_hash"))
     counts = docs.where("text IS NOT NULL AND lang IS NOT NULL").groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()

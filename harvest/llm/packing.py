@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harvest.llm.common import text_slices
+from harvest.llm.common import bounded_batches, text_slices
 from harvest.llm.tokens import crc32, encoder, with_end
 from harvest.operators.ordered import number_rows
 from harvest.session import cut_lineage
@@ -30,9 +30,10 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end: int = END) -> DataFrame:
     """The pieces of every row: full ones from its start, then the rest. A null text is an empty one."""
+    bounded_batches(docs.sparkSession)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=4 << 20):
+            for part in text_slices(batch):
                 ids, starts = with_end(*encoder(tokenizer).encode(part.column("text")), end)
                 tokens = np.diff(starts)
                 n = -(-tokens // size)
@@ -105,7 +106,7 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, end: int = END
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=4 << 20):
+            for part in text_slices(batch):
                 ids, starts = with_end(*encoder(tokenizer).encode(part.column("text")), end)
                 at = starts[:-1] + part.column("start").to_numpy()
                 rows = [ids[a:a + k].astype(np.int32) for a, k in zip(at, part.column("length").to_numpy())]

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from harvest.llm.common import Words, byte_set, per_text, strings, text_slices
+from harvest.llm.common import Words, bounded_batches, byte_set, per_text, strings, text_slices
 
 # bytes up to which a band holds, smallest and largest allowed ratio of plain to compressed bytes
 BANDS = (
@@ -132,6 +132,7 @@ def quality(docs: DataFrame, bands=BANDS) -> DataFrame:
     A null or empty text has no words and fails the base rule; a null id stays null. Repeated rows are
     judged one by one. Other columns are ignored. Nothing is shuffled: each text is judged by itself.
     """
+    bounded_batches(docs.sparkSession)
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harvest.llm.common import text_slices
+from harvest.llm.common import bounded_batches, text_slices
 from harvest.llm.tokens import crc32, encoder, with_end
 from harvest.session import cut_lineage, scratch_dir
 
@@ -117,7 +117,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in text_slices(batch, limit=4 << 20):
+            for part in text_slices(batch):
                 known = encoder(tokenizer)
                 ids, starts = with_end(*known.encode(part.column("text")), end)
                 small = ids.astype("<u2") if known.tokenizer.get_vocab_size() <= 1 << 16 else ids.astype("<u4")
@@ -162,6 +162,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int = E
     Null ids come first, rows of one id by content. The vocabulary bounds what the driver holds: the id
     of each rank. Files hold ``FILE_TOKENS`` tokens, so one task never holds more than one file.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     coded = cut_lineage(encoded(docs, tokenizer, end))
     ranked = [r["id"] for r in frequencies(coded).orderBy(F.desc("n"), "id").collect()]       # at most the vocabulary
