@@ -23,12 +23,12 @@ _PRESETS = [
     ("website", {"User-Agent": _AGENT,
                  "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8",
                  "Accept-Language": "zh-CN,zh;q=0.9,en;q=0.8"},
-     30.0, 3, 2.0, 3, 2.0, "公开网站和网络资源：网页、文档、媒体资源"),
+     30.0, 3, 2.0, 3, 2.0, "pages and documents of public sites"),
     ("api", {"Accept": "application/json", "Content-Type": "application/json"},
-     30.0, 3, 1.0, 10, None, "API 接口和订阅服务：RESTful/GraphQL API、RSS/Atom、Webhook"),
-    ("file", {}, 120.0, 2, 5.0, 3, None, "文件和存储系统：本地或远程文件、对象存储、FTP"),
-    ("stream", {}, 0.0, 5, 3.0, 1, None, "消息与流数据：消息队列、实时流、WebSocket"),
-    ("external", {}, 60.0, 3, 2.0, 5, None, "外部结构和第三方系统：数据库、SaaS 平台、遗留系统"),
+     30.0, 3, 1.0, 10, None, "programming interfaces and feeds"),
+    ("file", {}, 120.0, 2, 5.0, 3, None, "files in any kind of storage"),
+    ("stream", {}, 0.0, 5, 3.0, 1, None, "queues and streams of messages"),
+    ("external", {}, 60.0, 3, 2.0, 5, None, "databases and systems of others"),
 ]
 _DOWNLOADERS = ["http", "playwright"]
 _OPTION_TYPES = {
