@@ -276,7 +276,20 @@ def without_copies(docs: DataFrame) -> DataFrame:
     groups = cut_lineage(near_duplicates(docs))
     drop = groups.where("NOT kept").select(F.col("doc_id").alias("_drop")).distinct()
     repeated = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_twice"))
-    rows = docs.join(drop, docs["doc_id"] == F.col("_drop"), "left_anti")
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(drop.select(F.col("_drop").alias("class_id"))))
+
+    def only(marked: bool) -> DataFrame:
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id").cast(pa.int64())
+                bit = _mark(ids.fill_null(0).to_numpy(zero_copy_only=False))
+                hit = (marks.value[bit >> 3] >> (bit & 7) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == marked))
+
+        return docs.mapInArrow(choose, docs.schema)
+
+    doubtful = only(True)                   # rows to drop, and the few that share a mark with one
+    rows = only(False).unionByName(doubtful.join(drop, doubtful["doc_id"] == F.col("_drop"), "left_anti"))
     if repeated.isEmpty():
         return rows
     once = rows.join(repeated, rows["doc_id"] == F.col("_twice"), "left_anti")
