@@ -56,3 +56,15 @@ def test_real_rows(spark):
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
     out = [r for r in identified(docs, learned(docs.where(~held_out(3, 1)))).collect() if r.held_out]
     assert sum(r.lang_pred == truth[r.doc_id] for r in out) >= 0.96 * len(out) and sum(r.rejected for r in out) <= 0.03 * len(out)
+
+
+def test_clean_texts_of_few_words_stay(spark):
+    """Texts of 5 to 10 words, cut from held-out rows, are told apart and not rejected."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    classify = Classifier(learned(docs.where(~held_out(3, 1))))
+    cut = []
+    for r in docs.where(held_out(3, 1)).where("text IS NOT NULL").collect():
+        words = r.text.split()
+        cut += [(r.lang, " ".join(words[20:20 + n])) for n in (5, 8, 10) if len(words) > 60]
+    out = [(lang, classify(text)) for lang, text in cut]
+    assert len(out) > 200 and sum(x[2] for _, x in out) <= 0.01 * len(out) and sum(x[0] == lang for lang, x in out) >= 0.97 * len(out)
