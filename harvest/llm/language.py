@@ -48,17 +48,18 @@ def learned(docs: DataFrame, sample: int = SAMPLE_TEXTS) -> Model:
     """Dictionaries from the rows of ``docs`` that have a text and a language.
 
     The sample is bounded: ``sample`` distinct texts a language, those with the smallest hashes. Rows
-    are thinned by that hash before anything is gathered; copies of one text count once.
+    are thinned by that hash before anything is gathered, by the number of distinct hashes of their
+    language; copies of one text count once.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(
         F.col("lang").alias("_lang"), F.col("text").alias("_text"), F.xxhash64("text").alias("_hash"))
-    counts = docs.where("text IS NOT NULL AND lang IS NOT NULL").groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    counts = rows.groupBy("_lang").agg(F.approx_count_distinct("_hash").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 8 * sample / r["count"])))])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["_lang"]), F.lit(min(1.0, 8 * sample / max(1, r["n"]))))])
     thin = rows.where(F.pmod("_hash", F.lit(1 << 20)) < share[F.col("_lang")] * (1 << 20))
     place = F.pmod(F.shiftright("_hash", 20), F.greatest(F.lit(1), F.length("_text") - SAMPLE_CHARS + 1)) + 1
     pieces = thin.withColumn("_piece", F.substring("_text", place.cast("int"), F.lit(SAMPLE_CHARS)))

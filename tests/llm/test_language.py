@@ -68,3 +68,11 @@ def test_clean_texts_of_few_words_stay(spark):
         cut += [(r.lang, " ".join(words[20:20 + n])) for n in (5, 8, 10) if len(words) > 60]
     out = [(lang, classify(text)) for lang, text in cut]
     assert len(out) > 200 and sum(x[2] for _, x in out) <= 0.01 * len(out) and sum(x[0] == lang for lang, x in out) >= 0.97 * len(out)
+
+
+def test_copies_do_not_thin_the_sample(spark, make):
+    """40 distinct texts among 8,000 rows: a sample of 20 is full."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(5)) for _ in range(40)]
+    model = learned(make([(i, texts[i % 40], "aa") for i in range(8_000)]), sample=20)
+    assert len(model["aa"].split()) == 20 * 5
