@@ -74,6 +74,21 @@ FAMILIES = (
         (f"cc-{tag.replace(' ', '-')}", f"creative commons {name}", f"creative commons {tag}", ("2 0", "2 5", "3 0", "4 0"),
          "creative commons"))
 )
+# label and word, versions, whether the bare word is a name
+ABBREVIATIONS = (
+    ("gpl", ("1 0", "2 0", "3 0"), True), ("lgpl", ("2 0", "2 1", "3 0"), True), ("agpl", ("1 0", "3 0"), True),
+    ("gfdl", ("1 1", "1 2", "1 3"), True), ("mpl", ("1 0", "1 1", "2 0"), False), ("epl", ("1 0", "2 0"), False),
+    ("cddl", ("1 0", "1 1"), True), ("eupl", ("1 0", "1 1", "1 2"), True), ("wtfpl", (), True))
+# label, kind, keyword, a licence's own wording
+WORDINGS = (
+    ("mit", "version", "hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "name", "hereby", "permission is hereby granted free of charge"),
+    ("boost", "version", "hereby", "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy"),
+    ("isc", "version", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "version", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "name", "redistribution", "redistribution and use in source and binary forms"),
+    ("unlicense", "version", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "version", "liable", "without any express or implied warranty in no event will the authors be held liable"))
 _GRANT = "(?:licen[sc]ed|released|distributed|available|published|provided|offered|redistributed)(?: \\S+){0,2}? (?:under|by|as)(?: the)?(?: terms of)?(?: the)? "
 _TAG = "spdx licen[sc]e identifier "
 # kind: priority, confidence
@@ -98,8 +113,18 @@ def _spaced(words: str) -> str:
 
 
 def rules(families=FAMILIES) -> list[Rule]:
-    """The signatures of all families: tag, grant, name with version, and plain name, by priority."""
-    made = []
+    """The signatures of all families: tag, grant, name with version, and plain name, by priority.
+
+    Abbreviations (also with the version in one word) and the licences' own wordings have theirs besides.
+    """
+    made = list((kind, label, keyword, words) for label, kind, keyword, words in WORDINGS)
+    for word, versions, named in ABBREVIATIONS:
+        for version in versions:
+            major, _, minor = version.partition(" ")
+            own, rest = (f"{word}-{major}", "(?: 0)?") if minor == "0" else (f"{word}-{major}.{minor}", f" {minor}")
+            name = f"{word}(?:(?: v| version)? v?|v?){major}{rest}"
+            made += [("grant", own, word, f"{_GRANT}{name}"), ("version", own, word, name)]
+        made += [("grant", word, word, f"{_GRANT}{word}"), *([("name", word, word, word)] if named else [])]
     for label, name, tag, versions, keyword in families:
         for version in (*versions, None):
             major, _, minor = (version or "").partition(" ")
@@ -115,7 +140,7 @@ def rules(families=FAMILIES) -> list[Rule]:
             for i, (kind, label, keyword, pattern) in enumerate(made)]
 
 
-GATE = r"(?i)licen[sc]|spdx|gpl|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+GATE = r"(?i)licen[sc]|spdx|gpl|(?<![0-9a-z])(?:[me]pl|cddl|eupl|gfdl|wtfpl)|hereby|redistribution|unencumbered|liable|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 _FOUND = "array<struct<start:int,back:int,priority:int,rule:int,label:string,score:double>>"
 
 

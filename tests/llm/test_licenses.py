@@ -74,3 +74,15 @@ def test_sql_gives_the_same_rows(spark, real):
 def test_awkward_rows(awkward):
     got = scan(awkward).collect()
     assert len(got) == awkward.count() and scan(awkward.limit(0)).count() == 0 and all(r.labels == "" and r.score == 0 for r in got)
+
+
+def test_abbreviations_and_own_wordings(spark, make):
+    want = {"licensed under the GPL v3": "gpl-3", "LGPL 2.1": "lgpl-2.1", "AGPLv3": "agpl-3", "MPL 2.0": "mpl-2", "mplv1.1": "mpl-1.1",
+            "GNU GPLv2": "gpl-2", "released under the EPL": "epl", "an example, simply": "", "Eupl version 1.2": "eupl-1.2",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+            "Permission is hereby granted, free of charge, to any person or organization obtaining a copy": "boost",
+            "Redistribution and use in source and binary forms": "bsd"}
+    got = {r.doc_id: r for r in scan(make(list(enumerate(want)))).collect()}
+    assert [got[i].labels for i in range(len(want))] == list(want.values())
+    for i, text in enumerate(want):
+        assert tuple(got[i][c] for c in COLUMNS) == brute(text), text
