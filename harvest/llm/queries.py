@@ -166,3 +166,43 @@ FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
  AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) <= 3
 """
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language."""
+    from harvest.llm.collocations import collocations
+
+    return collocations(_documents(spark, sf_dir))
+
+
+SQL["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+phrases AS (
+  SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS p
+  FROM cut, (VALUES (1), (2), (3), (4)) t(m) WHERE len(w) >= m),
+counts AS (SELECT lang, p, count(*) AS f FROM phrases GROUP BY ALL),
+often AS (SELECT * FROM counts WHERE f >= 30),
+parts AS (
+  SELECT o.lang, o.p, o.f AS a, k, l.f AS l, r.f AS r,
+         CAST(2000000::HUGEINT * o.f // (l.f + r.f) AS BIGINT) AS score
+  FROM often o, (VALUES (1), (2), (3)) t(k) , often l, often r
+  WHERE k < len(o.p) AND l.lang = o.lang AND l.p = o.p[1:k] AND r.lang = o.lang AND r.p = o.p[k + 1:]),
+scored AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+held AS (
+  SELECT lang, s AS p, max(f) AS longer FROM (
+    SELECT lang, f, unnest(flatten(list_transform(range(2, len(p)), lambda m:
+             list_transform(range(1, len(p) - m + 2), lambda i: p[i:i + m - 1])))) AS s FROM often WHERE len(p) > 2) x
+  GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, array_to_string(s.p, ' ') AS phrase, a, l, r, score
+  FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.p = s.p WHERE h.longer IS NULL OR 100 * h.longer < 80 * a)
+SELECT ranked.lang, row_number() OVER (PARTITION BY ranked.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(p) = 1 GROUP BY lang) t ON t.lang = ranked.lang
+QUALIFY rank <= 2000
+"""
