@@ -206,3 +206,14 @@ SELECT ranked.lang, row_number() OVER (PARTITION BY ranked.lang ORDER BY score D
 FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(p) = 1 GROUP BY lang) t ON t.lang = ranked.lang
 QUALIFY rank <= 2000
 """
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of two thirds of them."""
+    from harvest.llm.language import held_out
+    from harvest.llm.toxicity import learned, scored
+
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return scored(docs, learned(docs.where(~held_out(3, 1)), labels.where(~held_out(3, 1))))

@@ -38,4 +38,4 @@ def test_run_is_registered(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is pipeline.run
-    assert sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()) == 10
+    assert sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()) == 13
