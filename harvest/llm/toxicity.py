@@ -26,7 +26,7 @@ LENGTHS = range(3, 7)       # characters of an n-gram
 FEATURES = 1 << 18          # places of the hashed features
 PSEUDO = 0.02               # share of one text that every feature is given in either label
 SAMPLE = 2_000              # rows of each label that the regression is fitted on, at most
-SAMPLE_CHARS = 20_000       # of a sampled row at most; longer rows count for the ratios only
+SAMPLE_CHARS = 8_000        # of a sampled row at most; longer rows count for the ratios only
 ROUNDS = 100                # steps of the regression
 PENALTY = 1e-4
 RATE = 100.0                # shares are in per cent
@@ -104,8 +104,8 @@ def _summed(parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([values.tobytes()], pa.binary())], names=["block", "sums"])
 
     schema = "block int, sums binary"
-    salted = parts.repartition(FEATURES // _BLOCK * _FAN_IN, F.col("block"), F.col("part") % _FAN_IN).select("block", "sums")
-    return salted.mapInArrow(add, schema).repartition(FEATURES // _BLOCK, "block").mapInArrow(add, schema)
+    salted = parts.repartition(F.col("block"), F.col("part") % _FAN_IN).select("block", "sums")
+    return salted.mapInArrow(add, schema).repartition("block").mapInArrow(add, schema)
 
 
 def log_count_ratios(rows: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
@@ -189,7 +189,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
         F.max("toxic").cast("int").alias("toxic"))
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    rows = cut_lineage(texts.join(known, "_id").select("text", "toxic"))
+    # the labels grow with the texts, so neither side is ever sent whole
+    rows = cut_lineage(texts.join(known.hint("shuffle_hash"), "_id").select("text", "toxic"))
     ratios, n = log_count_ratios(rows)
     return fitted(sampled(rows, n, sample), ratios)
 
