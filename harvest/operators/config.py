@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvest.functions.text import merge_maps, or_else, record_id
-from harvest.schemas import EXTRACTORS, LINE
+from harvest.operators.validate import faults, kind_of, part, structure
+from harvest.schemas import EXTRACTOR_FIELDS, EXTRACTORS, LINE
 
 _MAP = T.MapType(T.StringType(), T.StringType())
 BUILD_OPTIONS = "crawler_build_options"
@@ -83,33 +84,50 @@ def _json_map(text: Column) -> Column:
     return F.coalesce(F.from_json(text, _MAP), F.create_map().cast(_MAP))
 
 
+def _extractor_config(meta: Column) -> Column:
+    """The ``extractor_config`` of a line's meta as a variant; null unless it is an object with fields."""
+    config = part(F.try_parse_json(meta), EXTRACTOR_CONFIG)
+    return F.when((kind_of(config) == "object") & (F.size(F.try_variant_get(config, "$", "map<string,variant>")) > 0), config)
+
+
+def line_error(line: Column) -> Column:
+    """What is wrong with the extractor config of an enabled line; null if nothing is."""
+    found = faults(_extractor_config(line["meta"]), EXTRACTOR_FIELDS)
+    return F.when(F.coalesce(line["enabled"], F.lit(True)) & _extractor_config(line["meta"]).isNotNull() & (F.size(found) > 0), F.concat(
+        F.lit("invalid selectors of line "), line["id"], F.lit(": "), F.array_join(found, "; ")))
+
+
 def plan_tasks(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """One task per enabled line, in line order; the source's own flag does not matter.
 
     ``lines`` (table form, with ``source_id`` and ``line_ord``) replaces the lines inside the
     sources. An ``extractor_config`` object in a line's meta becomes ``extractors``; the other
-    meta fields become ``params``. ``crawl_id`` defaults to one run per source.
+    meta fields become ``params``. ``crawl_id`` defaults to one run per source. A run with an enabled
+    line whose config has a field of another type is not to be started: all its tasks carry the first
+    such line's faults in ``config_error``.
     """
     run = [F.col(c) for c in ("crawl_id", "dedup_enabled") if c in sources.columns]
-    run.append((F.col("config_error") if "config_error" in sources.columns
-                else F.lit(None).cast("string")).alias("config_error"))
+    given = F.col("config_error") if "config_error" in sources.columns else F.lit(None).cast("string")
     if "crawl_id" not in sources.columns:
         run.append(F.concat(F.lit("run-"), "id").alias("crawl_id"))
     if "dedup_enabled" not in sources.columns:
         run.append(F.lit(True).alias("dedup_enabled"))
     if lines is None:
+        first = F.get(F.array_compact(F.transform("lines", line_error)), F.lit(0))
         rows = sources.select(
-            *run, F.col("id").alias("source_id"), F.posexplode("lines").alias("task_ord", "line"))
+            *run, F.coalesce(given, first).alias("config_error"), F.col("id").alias("source_id"),
+            F.posexplode("lines").alias("task_ord", "line"))
     else:
         packed = lines.select(
             "source_id", F.col("line_ord").alias("task_ord"), F.struct(*[
                 (F.col(f.name) if f.name in lines.columns else F.lit(None)).cast(f.dataType)
                 .alias(f.name) for f in LINE.fields]).alias("line"))
-        rows = sources.select(*run, F.col("id").alias("source_id")).join(packed, "source_id")
+        wrong = packed.withColumn("_wrong", line_error(F.col("line"))).filter("_wrong IS NOT NULL").groupBy("source_id").agg(
+            F.min(F.struct("task_ord", "_wrong"))["_wrong"].alias("_wrong"))
+        rows = sources.select(*run, given.alias("config_error"), F.col("id").alias("source_id")).join(packed, "source_id")
+        rows = rows.join(wrong, "source_id", "left").withColumn("config_error", F.coalesce("config_error", "_wrong")).drop("_wrong")
     meta = _json_map(F.col("line.meta"))
-    config = F.from_json(F.get_json_object("line.meta", f"$.{EXTRACTOR_CONFIG}"), EXTRACTORS)
-    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in EXTRACTORS.fields])
-    extractors = F.coalesce(config, empty)
+    extractors = structure(_extractor_config(F.col("line.meta")), EXTRACTOR_FIELDS, EXTRACTORS)
     extractors = extractors.withField("link_selectors", F.coalesce(
         extractors["link_selectors"], F.array().cast("array<string>")))
     return rows.filter(F.coalesce("line.enabled", F.lit(True))).select(

@@ -2,6 +2,8 @@
 
 from pyspark.sql import types as T
 
+from harvest.operators.validate import Field
+
 _S, _I, _B, _D, _TS = (
     T.StringType(), T.IntegerType(), T.BooleanType(), T.DoubleType(), T.TimestampType())
 
@@ -49,3 +51,24 @@ STORED = {
     "crawler_logs": _struct(
         id=_S, task_id=_S, source_id=_S, level=_S, message=_S, created_at=_TS),
 }
+
+# What documents may hold; fields they do not name are passed over.
+EXTRACTOR_FIELDS = (
+    Field("link_selectors", "texts"), *[Field(f"{n}_selector", nullable=True) for n in ("title", "time", "content", "next_page")],
+    Field("max_pages", "int", nullable=True))
+LINE_FIELDS = (
+    Field("id", required=True), Field("source_id", required=True), Field("name", required=True), Field("url", nullable=True),
+    Field("description"), Field("enabled", "bool"), Field("item_limit", "int", nullable=True), Field("meta", "any_map"),
+    Field("created_at", "time"), Field("updated_at", "time"))
+SOURCE_FIELDS = (
+    Field("id", required=True), Field("name", required=True), Field("type", required=True, allowed=tuple(SOURCE_TYPES)),
+    Field("url", nullable=True), Field("description"), Field("enabled", "bool"), Field("meta", "any_map"),
+    Field("lines", "objects", fields=LINE_FIELDS), Field("created_at", "time"), Field("updated_at", "time"))
+TASK_FIELDS = (
+    Field("task_id", required=True), Field("line_id", required=True), Field("line_name"), Field("url", nullable=True),
+    Field("params", "any_map"), Field("max_items", "int", nullable=True), Field("extractors", "object", fields=EXTRACTOR_FIELDS))
+RUN_FIELDS = (
+    Field("crawler_id", required=True), Field("source_id", required=True), Field("source_name"),
+    Field("downloader", allowed=("http", "playwright")), Field("tasks", "objects", fields=TASK_FIELDS),
+    Field("headers", "text_map"), Field("timeout", "float"), Field("retry_max", "int"), Field("retry_delay", "float"),
+    Field("concurrency", "int"), Field("rate_limit", "float", nullable=True), Field("dedup_enabled", "bool"), Field("meta", "any_map"))

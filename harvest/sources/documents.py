@@ -4,24 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harvest.operators.config import normalise_line_owner, with_default_lines
-from harvest.schemas import EXTRACTORS, LINE, RUN_CONFIG, SOURCE, SOURCE_TYPES, STORED
+from harvest.operators.validate import document_faults, kind_of, part, structure, typed
+from harvest.schemas import (
+    EXTRACTORS, LINE, RUN_CONFIG, RUN_FIELDS, SOURCE, SOURCE_FIELDS, STORED)
+
+STRING = T.StringType()
+
+
+def _documents(spark: SparkSession, path: str, multiline: bool, fields: tuple) -> DataFrame:
+    """(document, doc, reason): JSON documents as text and variant, and what is wrong with each.
+
+    One document a line; with ``multiline`` one a file, or a list of them.
+    """
+    rows = spark.read.text(path, wholetext=multiline).filter(F.trim("value") != "")
+    rows = rows.select(F.col("value").alias("document"), F.try_parse_json("value").alias("doc"))
+    if multiline:
+        each = F.when(kind_of(F.col("doc")) == "list", F.try_variant_get("doc", "$", "array<variant>")).otherwise(F.array("doc"))
+        rows = rows.select("document", F.explode(each).alias("doc")).withColumn(
+            "document", F.coalesce(F.to_json("doc"), "document"))
+    return rows.withColumn("reason", document_faults(F.col("doc"), fields))
+
+
+def _refused(docs: DataFrame, fields: tuple, *names: str) -> DataFrame:
+    """Refused documents with their reason and those of the fields that can be told."""
+    by_name = {f.name: f for f in fields}
+    told = [F.when(kind_of(part(F.col("doc"), n)) == "text", typed(part(F.col("doc"), n), by_name[n], STRING)).alias(n) for n in names]
+    return docs.filter("reason IS NOT NULL").select(*told, "reason", "document")
 
 
 def read_sources(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """Source documents: (accepted, refused).
 
-    A source needs ``id``, ``name`` and one of the five types, and each line ``id``,
-    ``source_id`` and ``name``. Accepted sources have their defaults, own their lines and hold
-    at least one line.
+    A source needs ``id``, ``name`` and one of the five types, each line ``id``, ``source_id`` and
+    ``name``, and every field that is there must be of its type. Accepted sources have their defaults,
+    own their lines and hold at least one line. Refused ones (``id, name, type, url, reason,
+    document``) name every field that is missing or does not fit.
     """
-    raw = spark.read.schema(SOURCE).option("multiLine", multiline).json(path)
-    whole = (
-        F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("type").isin(SOURCE_TYPES)
-        & F.forall(F.coalesce("lines", F.array().cast(SOURCE["lines"].dataType)),
-                   lambda n: n["id"].isNotNull() & n["source_id"].isNotNull() & n["name"].isNotNull()))
-    whole = F.coalesce(whole, F.lit(False))
+    docs = _documents(spark, path, multiline, SOURCE_FIELDS)
     empty = {"description": F.lit(""), "enabled": F.lit(True), "meta": F.lit("{}")}
 
     def complete(line):
@@ -29,16 +51,24 @@ def read_sources(spark: SparkSession, path: str, multiline: bool = True) -> tupl
             F.coalesce(line[f.name], empty[f.name]).alias(f.name) if f.name in empty
             else line[f.name].alias(f.name) for f in LINE.fields])
 
-    accepted = raw.filter(whole).withColumns({
+    accepted = docs.filter("reason IS NULL").select(structure(F.col("doc"), SOURCE_FIELDS, SOURCE).alias("s")).select("s.*").withColumns({
         **{name: F.coalesce(name, value) for name, value in empty.items()},
         "lines": F.transform("lines", complete)})
-    return normalise_line_owner(with_default_lines(accepted)), raw.filter(~whole)
+    return (normalise_line_owner(with_default_lines(accepted)),
+            _refused(docs, SOURCE_FIELDS, "id", "name", "type", "url"))
+
+
+def refused_run_configs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """The run documents that :func:`read_run_configs` leaves out: ``crawler_id, source_id, reason, document``."""
+    return _refused(_documents(spark, path, multiline, RUN_FIELDS), RUN_FIELDS, "crawler_id", "source_id")
 
 
 def read_run_configs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Stored run documents as task rows with their run's settings; a run without tasks keeps
-    one row with null task columns. Absent settings take the run defaults."""
-    raw = spark.read.schema(RUN_CONFIG).option("multiLine", multiline).json(path)
+    one row with null task columns. Absent settings take the run defaults. Documents with a field that
+    is missing or of another type give no row, see :func:`refused_run_configs`."""
+    docs = _documents(spark, path, multiline, RUN_FIELDS).filter("reason IS NULL")
+    raw = docs.select(structure(F.col("doc"), RUN_FIELDS, RUN_CONFIG).alias("r")).select("r.*")
     # Settings of a run document that does not name them.
     defaults = {"source_name": "", "downloader": "http", "timeout": 30.0, "retry_max": 3,
                 "retry_delay": 1.0, "concurrency": 5, "dedup_enabled": True}
