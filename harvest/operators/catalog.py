@@ -131,9 +131,22 @@ def list_logs(
                  limit, offset)
 
 
-def task_data(data: DataFrame, task_id: str, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of a task's records by ``(collected_at, id)``, so that pages do not overlap."""
-    return _page(data.filter(F.col("task_id") == task_id).orderBy("collected_at", "id"), limit, offset)
+def after_record(data: DataFrame, collected_at: Column, row_id: Column) -> DataFrame:
+    """Records behind a place in the order ``(collected_at, id)``."""
+    return data.filter((F.col("collected_at") > collected_at) | (
+        (F.col("collected_at") == collected_at) & (F.col("id") > row_id)))
+
+
+def task_data(data: DataFrame, task_id: str, limit: int = 100, offset: int = 0,
+              after: tuple[Column, Column] | None = None) -> DataFrame:
+    """A page of a task's records by ``(collected_at, id)``, so that pages do not overlap.
+
+    ``after`` holds both of the last row seen: the page behind it, without counting off the rows before.
+    """
+    own = data.filter(F.col("task_id") == task_id)
+    if after is not None:
+        own = after_record(own, *after)
+    return _page(own.orderBy("collected_at", "id"), limit, offset)
 
 
 def older_than(table: DataFrame, created_at: Column, row_id: Column, limit: int = 50) -> DataFrame:

@@ -89,12 +89,15 @@ def run_job(
     named = accepted.select("source_id", *extra, task_key().alias("crawl_id"))
     chosen = sources.join(named.withColumnRenamed("source_id", "id"), "id")
     config = cut_lineage(resolve_run_config(chosen))
-    broken = config.filter("config_error IS NOT NULL").select(
+    planned = cut_lineage(plan_tasks(config, lines.filter("enabled")))
+    # settings first, then the selectors of lines; a run without tasks keeps its own error
+    wrong = planned.groupBy("crawl_id").agg(F.first("config_error").alias("_wrong"))
+    judged = config.join(wrong, "crawl_id", "left").withColumn("config_error", F.coalesce("config_error", "_wrong"))
+    broken = judged.filter("config_error IS NOT NULL").select(
         F.col("crawl_id").alias("id"), "crawl_id", F.col("id").alias("source_id"),
         *[F.lit(0).cast("long").alias(c) for c in ("total_items", "success_count", "failed_count")],
         F.col("config_error").alias("error"), now.alias("finished_at"))
-    result = crawl(
-        plan_tasks(config.filter("config_error IS NULL"), lines.filter("enabled")), pages, missing)
+    result = crawl(planned.filter("config_error IS NULL"), pages, missing)
     finished = result.runs.select(
         F.col("crawl_id").alias("id"), "crawl_id", "source_id", "total_items", "success_count",
         "failed_count", F.lit(None).cast("string").alias("error"), now.alias("finished_at"))

@@ -9,6 +9,8 @@ from harvest.operators.changes import run_log_rows
 from harvest.operators.extract import truncate_content
 from harvest.operators.ordered import number_rows
 from harvest.plans.results import CrawlResult
+from harvest.session import cut_lineage
+from harvest.sources.store import write_commit
 
 DOCUMENT_ITEMS = 1_000
 
@@ -50,17 +52,17 @@ def collected_rows(items: DataFrame, now: Column) -> DataFrame:
 def persist_run(
     result: CrawlResult, folder: str, now: Column, broken: DataFrame | None = None,
 ) -> None:
-    """Append the records and one log row per run; ``broken`` runs
-    (``task_id, source_id, total_items, error``) get their log row only.
+    """Store the records, one log row and one result row per run, visible together or not at all;
+    ``broken`` runs (``task_id, source_id, total_items, error``) get no records.
 
-    Records are gathered by source before they are written; the hint lets a source that holds
-    much of the data keep many writers.
+    May be repeated: runs that are stored already are left out (see :mod:`harvest.sources.store`).
     """
-    (collected_rows(result.items, now).hint("rebalance", "source_id")
-     .write.mode("append").partitionBy("source_id").parquet(f"{folder}/collected_data"))
-    runs = result.runs.withColumnRenamed("crawl_id", "task_id").withColumn(
-        "error", F.lit(None).cast("string"))
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("total_items", "success_count", "failed_count")]
+    runs = result.runs.select(
+        F.col("crawl_id").alias("task_id"), "source_id", *counts, F.lit(None).cast("string").alias("error"))
     if broken is not None:
-        columns = ["task_id", "source_id", "total_items", "error"]
-        runs = runs.select(columns).unionByName(broken.select(columns))
-    run_log_rows(runs, now).write.mode("append").parquet(f"{folder}/crawler_logs")
+        runs = runs.unionByName(broken.select(
+            "task_id", "source_id", F.col("total_items").cast("long").alias("total_items"),
+            F.lit(0).cast("long").alias("success_count"), F.lit(0).cast("long").alias("failed_count"), "error"))
+    runs = cut_lineage(runs)
+    write_commit(folder, collected_rows(result.items, now), run_log_rows(runs, now), runs.withColumn("finished_at", now))
