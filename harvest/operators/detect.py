@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,27 +117,44 @@ def tag_signatures(pages: DataFrame) -> DataFrame:
         tag_selector(F.col("n")).alias("selector"))
 
 
-def _groups(signed: DataFrame, *carried: str) -> DataFrame:
-    """Link groups of each page. A page's links sit in one partition, so nearly everything is
-    folded before the shuffle and only (page, signature, count) rows travel."""
-    return (
-        signed.select("page_url", *carried, F.posexplode_outer("signatures").alias("pos", "signature"))
-        .groupBy("page_url", "signature")
-        .agg(F.count("pos").alias("links"), F.min("pos").alias("first_pos"),
-             *[F.first(c).alias(c) for c in carried])
-    )
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(signatures: Column) -> Column:
+    """Link groups of a page: ``signature, links, first_pos`` for each distinct signature.
+
+    Sorted by signature and place, equal ones lie together: a group ends where the next begins. All of
+    it happens inside the row, in the time of one sort.
+    """
+    placed = F.array_sort(F.transform(signatures, lambda s, i: F.struct(s.alias("signature"), i.alias("pos"))))
+
+    def begins(rows: Column, i: Column) -> Column:
+        return (i == 0) | ~F.get(rows, i)["signature"].eqNullSafe(F.get(rows, i - 1)["signature"])
+
+    def cut(rows: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0))), lambda i: begins(rows, i))
+        return _let(starts, lambda at: F.transform(at, lambda first, k: F.struct(
+            F.get(rows, first)["signature"].alias("signature"),
+            (F.coalesce(F.get(at, k + 1), F.size(rows)) - first).cast("long").alias("links"),
+            F.get(rows, first)["pos"].alias("first_pos"))))
 
+    return F.when(F.size(signatures) > 0, _let(placed, cut)).otherwise(
+        F.array().cast("array<struct<signature:string,links:bigint,first_pos:int>>"))
 
-def _largest() -> Column:
-    best = F.max(F.struct("links", (-F.col("first_pos")).alias("early"), "signature"))
-    return F.when(
-        (best["links"] >= MIN_GROUP) & best["signature"].isNotNull(),
-        F.concat(best["signature"], F.lit(" a[href]")))
+
+def _largest(signatures: Column) -> Column:
+    ranked = F.transform(_groups(signatures), lambda g: F.struct(
+        g["links"].alias("links"), (-g["first_pos"]).alias("early"), g["signature"].alias("signature")))
+    return _let(F.array_max(ranked), lambda best: F.when(
+        (best["links"] >= MIN_GROUP) & best["signature"].isNotNull(), F.concat(best["signature"], F.lit(" a[href]"))))
 
 
 def link_groups(pages: DataFrame) -> DataFrame:
     """Number of ``<a href>`` by signature of the element around them (null: top level)."""
-    return _groups(_by_page(pages, signatures=link_signatures)).filter("links > 0")
+    grouped = _by_page(pages, groups=lambda nodes: _groups(link_signatures(nodes)))
+    return grouped.select("page_url", F.inline_outer("groups")).filter("links > 0")
 
 
 def detect_link_selector(pages: DataFrame) -> DataFrame:
@@ -143,8 +162,7 @@ def detect_link_selector(pages: DataFrame) -> DataFrame:
 
     Links without an element around them form a group too, but give no selector.
     """
-    return _groups(_by_page(pages, signatures=link_signatures)).groupBy("page_url").agg(
-        _largest().alias("link_selector"))
+    return _by_page(pages, link_selector=lambda nodes: _largest(link_signatures(nodes)))
 
 
 _NAME = r"(-?[A-Za-z_\x{a0}-\x{10ffff}]|--)[A-Za-z0-9_\x{a0}-\x{10ffff}-]*"
@@ -170,14 +188,10 @@ def detect_selectors(pages: DataFrame, detector=None) -> DataFrame:
         return pages.select(F.col("url").alias("page_url"), detector(F.col("html")).alias("d")).select(
             "page_url", *[F.col(f"d.{name}").alias(name) for name in fields])
     seen = _by_page(
-        pages, signatures=link_signatures, title_selector=title_selector,
+        pages, link=lambda nodes: _largest(link_signatures(nodes)), title_selector=title_selector,
         time_selector=time_selector,
         content_selector=lambda nodes: F.coalesce(semantic_content(nodes), dense_content(nodes)))
     rest = fields[1:]
-    return (
-        _groups(seen, *rest).groupBy("page_url")
-        .agg(_largest().alias("link"), *[F.first(c).alias(c) for c in rest])
-        .select("page_url",
-                F.filter(F.array("link"), lambda s: s.isNotNull()).alias("link_selectors"), *rest,
-                selector_error(F.col("link"), *map(F.col, rest)).alias("selector_error"))
-    )
+    return seen.select(
+        "page_url", F.filter(F.array("link"), lambda s: s.isNotNull()).alias("link_selectors"), *rest,
+        selector_error(F.col("link"), *map(F.col, rest)).alias("selector_error"))

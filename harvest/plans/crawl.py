@@ -103,6 +103,51 @@ def _fetched(requests: DataFrame, tasks: DataFrame, pages: DataFrame, missing: s
         asked.filter("found").drop("found"), asked.filter("NOT found").drop("found"), pages, missing)
 
 
+def _claimed(wanted: DataFrame, scale: int = 1) -> DataFrame:
+    """Requests the tasks make; ``weight`` counts ``scale`` for a record.
+
+    A direct request is made whatever its limit. An address that fails, or whose extraction fails, ends
+    its task unless a lower task holds its key; one that can't be fetched holds no key itself.
+    """
+    limit = F.when(F.col("levels") > 0, F.col("max_items").cast("long") * scale)
+    requests = wanted.withColumns({
+        "fetch_limit": limit, "weight": F.when(F.col("fetch_error").isNull(), F.col("weight")).otherwise(0),
+        "ends": F.col("fetch_error").isNotNull() | F.col("spoilt").isNotNull(), "holds": F.col("fetch_error").isNull()})
+    return cut_lineage(claim_requests(cut_lineage(requests)))
+
+
+def _claimed_by_demand(
+    wanted: DataFrame, tasks: DataFrame, pages: DataFrame, missing: str, extractor: Callable,
+) -> tuple[DataFrame, DataFrame]:
+    """The requests the tasks make and the records of a custom extractor, which only chosen pages meet.
+
+    How many records an address gives is known once the extractor has run. Tasks choose their requests
+    with what is known; an address not asked yet counts as one record in the first round, and as half of
+    what it did before in each later one, so that tasks whose pages give little ask for twice as many.
+    What they choose is extracted, until they choose known addresses only. Behind a task's last choice
+    no address matters, and before it all are known, so the choice is the one that full knowledge gives.
+    """
+    at = [*TASK, "order_key"]
+    known, records, scale = None, [], 1
+    while True:
+        if known is None:
+            guess = wanted.withColumns({"told": F.lit(False), "spoilt": F.lit(None).cast("string"), "weight": F.lit(1).cast("long")})
+        else:
+            guess = wanted.drop("weight", "spoilt").join(known, at, "left").withColumns({
+                "told": F.col("records").isNotNull(), "weight": F.coalesce(F.col("records") * scale, F.lit(1).cast("long"))}).drop("records")
+        claims = _claimed(guess, scale)
+        asked = cut_lineage(claims.filter("fetch_error IS NULL AND NOT told").select(*at, "url", "found"))
+        if records and asked.isEmpty():
+            return claims.drop("told"), union_frontiers(*records)
+        made = _fetched(asked, tasks, pages, missing).withColumn("request_url", F.col("url"))
+        every = cut_lineage(custom_items(made, extractor, keep_errors=True))
+        counts = every.groupBy(*at).agg(F.count("*").alias("records"), F.max("extract_error").alias("spoilt"))
+        new = cut_lineage(asked.select(at).join(counts, at, "left").fillna(0, ["records"]))
+        known = new if known is None else known.unionByName(new)
+        records.append(every.filter("extract_error IS NULL").drop("extract_error"))
+        scale = min(2 * scale, 1 << 20)
+
+
 def crawl(
     tasks: DataFrame, pages: DataFrame, missing: str = "fail",
     extractor: Callable | None = None, dedup_key: Callable[[Column], Column] = url_key,
@@ -125,24 +170,10 @@ def crawl(
     # success or failure of every address, without reading page texts
     wanted = cut_lineage(with_state(wanted, pages, missing).withColumn("weight", F.lit(1).cast("long")))
 
-    if extractor is not None:
-        good = wanted.filter("fetch_error IS NULL").drop("fetch_error")
-        # how many records an address gives is known only once the extractor has run
-        made = _fetched(good, tasks, pages, missing).withColumn("request_url", F.col("url"))
-        records = cut_lineage(custom_items(made, extractor, keep_errors=True))
-        counts = records.groupBy(*TASK, "order_key").agg(
-            F.count("*").alias("weight"), F.max("extract_error").alias("spoilt"))
-        wanted = wanted.drop("weight", "spoilt").join(counts, [*TASK, "order_key"], "left")
-        wanted = cut_lineage(wanted.fillna(0, ["weight"]))
-        records = records.filter("extract_error IS NULL").drop("extract_error")
-
-    # A direct request is made whatever its limit. An address that fails, or whose extraction fails,
-    # ends its task unless a lower task holds its key; one that can't be fetched holds no key itself.
-    limit = F.when(F.col("levels") > 0, F.col("max_items").cast("long"))
-    requests = wanted.withColumns({
-        "fetch_limit": limit, "weight": F.when(F.col("fetch_error").isNull(), F.col("weight")).otherwise(0),
-        "ends": F.col("fetch_error").isNotNull() | F.col("spoilt").isNotNull(), "holds": F.col("fetch_error").isNull()})
-    claims = cut_lineage(claim_requests(cut_lineage(requests)))
+    if extractor is None:
+        claims = _claimed(wanted)
+    else:
+        claims, records = _claimed_by_demand(wanted, tasks, pages, missing, extractor)
 
     failures = claims.filter("ends").select(
         *TASK, F.lit(_AFTER_LISTINGS).alias("stage"), F.col("order_key").alias("at"),
