@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from harvest.functions.text import url_key
-from harvest.operators.catalog import task_status_counts
 from harvest.operators.extract import data_items, extract_links, page_items
 
 
@@ -49,43 +48,3 @@ def stream_dedup(
     if delay is None:
         return keyed.dropDuplicates(["crawl_id", "url_key"])
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["crawl_id", "url_key"])
-
-
-def latest_status(changes: DataFrame) -> DataFrame:
-    """Newest status of each task (``id, status, changed_at, seq``)."""
-    return changes.groupBy("id").agg(
-        F.max(F.struct("changed_at", "seq", "status")).alias("last")).select("id", "last.*")
-
-
-class StatusBoard:
-    """Live status counts: the newest status per task as a table, one version per batch.
-
-    Counting a stream by status would count changes; this keeps one row per task. Version n is
-    made of version n - 1 and batch n and written under its number, so a batch that runs twice
-    after a failure, or a restarted stream, ends in the same table.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, f"{folder}/versions"
-
-    def absorb(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("id", "status", "changed_at", "seq")
-        if batch_id > 0:
-            before = self.spark.read.parquet(f"{self.folder}/version={batch_id - 1}")
-            rows = rows.unionByName(before.select(rows.columns))
-        latest_status(rows).write.mode("overwrite").parquet(f"{self.folder}/version={batch_id}")
-
-    def table(self) -> DataFrame:
-        versions = self.spark.read.parquet(self.folder)
-        newest = versions.agg(F.max("version")).first()[0]
-        return versions.filter(F.col("version") == newest).drop("version")
-
-    def counts(self) -> DataFrame:
-        return task_status_counts(self.table())
-
-
-def stream_status(changes: DataFrame, board: StatusBoard, folder: str) -> StreamingQuery:
-    """Feed task changes into a :class:`StatusBoard`."""
-    return (
-        changes.writeStream.foreachBatch(board.absorb).outputMode("append")
-        .option("checkpointLocation", f"{folder}/_progress").trigger(availableNow=True).start())
