@@ -8,7 +8,7 @@ from checks.registry import check
 from harvest.operators import config as C
 from harvest.operators.ordered import number_rows
 from harvest.plans.job import detect_for_sources
-from harvest.sources.documents import read_run_configs, read_sources, read_tables
+from harvest.sources.documents import read_run_configs, read_sources, read_tables, refused_run_configs
 
 # Request defaults by source type.
 _PRESETS = """(VALUES ('website', 30.0::DOUBLE, 3, 2.0::DOUBLE, 3, 2.0::DOUBLE, 3),
@@ -62,6 +62,52 @@ def _(t):
         F.col("extractors.link_selectors")[0].alias("first_selector"))
 
 
+def _run_documents(t):
+    """A run document for each line: as it should be, with a wrong limit, and with a task that lacks its line."""
+    odd = F.when(F.col("k") == 0, F.lit('"line_id":"l","max_items":7.0')).when(
+        F.col("k") == 1, F.lit('"line_id":"l","max_items":"many"')).otherwise('"url":5')
+    return t.lines.select(F.concat(
+        F.lit('{"crawler_id":"'), "id", F.lit('","source_id":"'), "source_id", F.lit('","tasks":[{"task_id":"t",'), odd, F.lit("}]}")).alias("value"))
+
+
+@check("read_run_configs_refused", """
+SELECT id AS crawler_id, source_id, CASE WHEN k = 1 THEN 'tasks[0].max_items: must be a whole number'
+       ELSE 'tasks[0].line_id: is missing; tasks[0].url: must be a text' END AS reason FROM v_lines WHERE k > 0""")
+def _(t):
+    folder = t.new_folder()
+    _run_documents(t).write.text(f"{folder}/runs")
+    return refused_run_configs(t.spark, f"{folder}/runs", multiline=False).drop("document")
+
+
+@check("read_run_configs_typed", "SELECT id AS crawl_id, 7 AS max_items FROM v_lines WHERE k = 0")
+def _(t):
+    folder = t.new_folder()
+    _run_documents(t).write.text(f"{folder}/runs")
+    return read_run_configs(t.spark, f"{folder}/runs", multiline=False).select("crawl_id", "max_items")
+
+
+@check("read_sources_reasons", """
+SELECT id, CASE i % 3 WHEN 0 THEN 'name: is missing' WHEN 1 THEN 'enabled: must be true or false'
+       ELSE 'lines[0].item_limit: must be a whole number' END AS reason FROM v_sources""")
+def _(t):
+    folder = t.new_folder()
+    third = F.col("i") % 3
+    odd = F.when(third == 0, F.lit("")).when(third == 1, F.lit('"name":"n","enabled":"maybe",')).otherwise(
+        F.lit('"name":"n","lines":[{"id":"l","source_id":"s","name":"n","item_limit":2.5}],'))
+    t.sources.select(F.concat(F.lit("{"), odd, F.lit('"type":"api","id":"'), "id", F.lit('"}')).alias("value")).write.text(f"{folder}/in")
+    return read_sources(t.spark, f"{folder}/in", multiline=False)[1].select("id", "reason")
+
+
+@check("plan_tasks_refused", """
+SELECT l.id AS line_id, CASE WHEN s.i % 2 = 0 THEN concat('invalid selectors of line ', s.id, '-l0: max_pages: must be a whole number')
+       END AS config_error FROM v_lines l JOIN v_sources s ON s.id = l.source_id WHERE l.enabled""")
+def _(t):
+    bad = F.lit('{"extractor_config":{"link_selectors":["a"],"max_pages":"x"}}')
+    lines = F.transform("lines", lambda n, k: n.withField("meta", F.when(
+        (F.col("i") % 2 == 0) & (k == 0), bad).otherwise(n["meta"])))
+    return C.plan_tasks(t.nested_sources().withColumn("lines", lines)).select("line_id", "config_error")
+
+
 @check("presets", f"""
 SELECT p.type, timeout, retry_max, retry_delay, concurrency, rate_limit, n_headers, count(*) AS sources
 FROM v_sources s JOIN {_PRESETS} ON p.type = s.type GROUP BY ALL""")

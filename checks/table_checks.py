@@ -9,6 +9,7 @@ from harvest.operators import catalog as K
 from harvest.operators import changes as M
 from harvest.operators import outcome as O
 from harvest.operators.frontier import dedup_urls, drop_seen, limit_items
+from harvest.sources.store import stored_task_data, write_commit
 
 _NOW = "2024-05-01 12:00:00"
 
@@ -148,6 +149,19 @@ def _(t):
     return K.task_data(data, "ct-7", offset=3).select("id", "title")
 
 
+@check("task_data_keyset", """
+SELECT id, title FROM v_data WHERE task_id = 'ct-7'
+  AND id > (SELECT max(id) FROM (SELECT id FROM v_data WHERE task_id = 'ct-7' ORDER BY id LIMIT 3) q) ORDER BY id LIMIT 100""")
+def _(t):
+    """The page behind the first three records of a task, out of the stored layout."""
+    folder = t.new_folder()
+    records = t.data.withColumn("collected_at", _now())
+    runs = records.select("task_id", "source_id").distinct()
+    write_commit(folder, records, runs, runs)
+    seen = stored_task_data(t.spark, folder, "ct-7", limit=3).collect()[-1]
+    return stored_task_data(t.spark, folder, "ct-7", after=(_now(), F.lit(seen["id"]))).select("id", "title")
+
+
 @check("result_preview", """
 SELECT task_id, CAST(place AS INT) AS place, title, CAST(greatest(n - 5, 0) AS BIGINT) AS more
 FROM (SELECT task_id, title, row_number() OVER (PARTITION BY task_id ORDER BY id) AS place,
@@ -232,6 +246,13 @@ def _(t):
     return drop_seen(_requests(t), seen).select("event_id")
 
 
+@check("drop_seen_some", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0)")
+def _(t):
+    asked = t.raw("events").select("event_id", F.concat(F.lit("https://x.test/"), F.col("user_id").cast("string")).alias("url"))
+    seen = asked.filter("event_id % 97 = 0").select(F.md5("url").alias("url_key"))
+    return drop_seen(asked, seen).select("event_id")
+
+
 # -- changes -----------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,11 +167,7 @@ class Tables:
 
     def new_folder(self) -> str:
         """A fresh folder beside the other intermediate tables."""
-        base = scratch_dir(self.spark)
-        if "://" in base:
-            import uuid
-            return f"{base}/out-{uuid.uuid4().hex}"
-        return tempfile.mkdtemp(prefix="out-", dir=base)
+        return f"{scratch_dir(self.spark)}/out-{uuid.uuid4().hex}"
 
     def stored(self, df: DataFrame) -> DataFrame:
         return cut_lineage(df)

@@ -26,15 +26,18 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "harvest")
     return spark
 
 
+_OWN: dict[str, str] = {}       # folders of local applications without the setting, by application
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local session may use its own."""
+    """The shared folder named by ``spark.checkpoint.dir``; an application on one machine may use its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder is not None:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _OWN.setdefault(context.applicationId, f"{tempfile.gettempdir()}/run-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -182,21 +182,6 @@ def test_stream_dedup_forgets_after_the_delay(spark, tmp_path):
     assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()) == ["u", "u", "v", "w"]
 
 
-def test_status_board_over_several_batches_and_a_restart(spark, tmp_path):
-    board = S.StatusBoard(spark, str(tmp_path))
-    schema = "id string, status string, changed_at timestamp, seq int"
-    from datetime import datetime as D
-
-    first = spark.createDataFrame([("a", "running", D(2024, 1, 1), 1), ("b", "running", D(2024, 1, 1), 2)], schema)
-    later = spark.createDataFrame([("a", "success", D(2024, 1, 2), 3)], schema)
-    board.absorb(first, 0)
-    board.absorb(later, 1)
-    again = S.StatusBoard(spark, str(tmp_path))
-    again.absorb(later, 1)
-    assert again.counts().first().asDict() == {
-        "task_count": 2, "pending": 0, "running": 1, "success": 1, "failed": 0}
-
-
 def test_new_rows_of_one_id_are_folded(spark):
     from harvest.operators import changes as M
 
@@ -225,3 +210,18 @@ def test_an_unknown_type_is_an_error_of_its_source(spark):
     sources = spark.createDataFrame([("s", "website"), ("t", "fax"), ("u", None)], "id string, type string")
     got = {r.id: r.config_error for r in C.resolve_run_config(C.with_run_options(sources)).collect()}
     assert got == {"s": None, "t": "unknown source type: fax", "u": "unknown source type: none"}
+
+
+def test_scratch_folder_without_the_setting():
+    from types import SimpleNamespace as N
+
+    from harvest.session import scratch_dir
+
+    def session(master, app="a", folder=None):
+        return N(conf=N(get=lambda *_: folder), sparkContext=N(master=master, applicationId=app))
+
+    assert scratch_dir(session("local[2]", "a")) == scratch_dir(session("local[*]", "a")) != scratch_dir(session("local[2]", "b"))
+    assert scratch_dir(session("spark://x", folder="s3://f")) == "s3://f"
+    for master in ("spark://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            scratch_dir(session(master))
