@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         start, before = end, int(ends[end - 1])
 
 
+def released() -> None:
+    """Give memory that is free, in Arrow's pool and the C library, back to the system; workers outlive a stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # absent outside the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of ``texts`` one after another, and where each text starts (one more entry: the end)."""
     texts = pc.fill_null(texts, "")

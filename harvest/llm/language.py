@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvest.llm.common import bounded_batches, text_slices
+from harvest.llm.common import bounded_batches, released, text_slices
 
 SAMPLE_TEXTS = 300      # training texts of a language's dictionary at most
 SAMPLE_CHARS = 1_500    # characters taken from each, from a place given by the text's hash
@@ -144,12 +144,17 @@ def identified(docs: DataFrame, model: Model, margin: float = MARGIN, modulus: i
 
 
 def accepted(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is not rejected."""
+    """The rows of ``docs``, with all their columns, whose text is not rejected.
+
+    Null texts, texts without a letter and, if nothing was learned, all texts are rejected; repeated rows
+    are judged one by one; an empty table stays empty.
+    """
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(model)
         for batch in batches:
             for part in text_slices(batch):
                 fine = [not classify(t, margin)[2] for t in part.column("text").to_pylist()]
                 yield part.filter(pa.array(fine, pa.bool_()))
+            released()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvest.llm.common import Words, bounded_batches, mixed, text_slices
+from harvest.llm.common import Words, bounded_batches, mixed, released, text_slices
 from harvest.llm.components import components
 from harvest.session import cut_lineage
 
@@ -37,6 +37,7 @@ BANDS, ROWS = 61, 6
 BLOCK = 128             # documents of a block; large clusters have blocks of a sixteenth, up to 1,024
 BLOCK_SHINGLES = 1 << 20
 COLUMNS = 4_096         # shingles of a dense comparison step
+SLICE = 1 << 20         # bytes of text whose shingles are handled at once
 MARKS = 1 << 26         # bits of the sent mark table (8 MB at any size) that spares most texts a shuffle
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -104,7 +105,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, n, hi, lo, bands): size, digest and bands of each document's set."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 sets = shingle_sets(part.column("text"))
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
                 keys = band_keys(signatures(sets))
@@ -112,6 +113,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]),
                      pa.array(digest[:, 1]), bands], names=["doc_id", "n", "hi", "lo", "bands"])
+            released()
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(sign, _SIGNED)
 
@@ -171,7 +173,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(i)
             sets.append(s)
         yield out(found)
+        released()
     yield out(list(links(ids, sets)))
+    released()
 
 
 def _tasks(clusters: DataFrame) -> DataFrame:
@@ -225,11 +229,12 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 bit = _mark(part.column("class_id").to_numpy())
                 part = part.filter(pa.array((marks.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
                 sets = [s.tobytes() for s in shingle_sets(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("class_id"), pa.array(sets, pa.binary())], names=["class_id", "shingles"])
+            released()
 
     texts = docs.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS class_id", "CAST(text AS STRING) AS text")
     sets = texts.mapInArrow(read, "class_id long, shingles binary").join(_tasks(clusters), "class_id").dropDuplicates(["class_id", "shingles"])
@@ -285,6 +290,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
                 bit = _mark(ids.fill_null(0).to_numpy(zero_copy_only=False))
                 hit = (marks.value[bit >> 3] >> (bit & 7) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(hit == marked))
+            released()
 
         return docs.mapInArrow(choose, docs.schema)
 
