@@ -8,12 +8,11 @@ detections are resolved by priority and by containment. All of it is built-in co
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvest.llm.spans import matches
+from harvest.llm.spans import matches, uncontested
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"             # of the text with A-Z folded
 _ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -153,32 +152,9 @@ def surviving(spans: Column, levels: int = len(KINDS)) -> Column:
     """What remains of spans that come in order of (start, -end, priority, rule).
 
     A span goes if an earlier one of the same or a stricter priority contains it, or if any one of a
-    stricter priority overlaps it. Each way one pass keeps the furthest end (nearest start) by priority.
+    stricter priority overlaps it. Takes time in proportion to the spans.
     """
-    edge = [f"edge{k}" for k in range(levels + 1)]
-
-    def pick(state: Column, priority: Column) -> Column:
-        return reduce(lambda other, k: F.when(priority == k, state[edge[k]]).otherwise(other), range(1, levels + 1), state[edge[0]])
-
-    def forward(state: Column, x: Column) -> Column:
-        end = -x["back"]
-        gone = (pick(state, x["priority"]) >= end) | (pick(state, x["priority"] - 1) > x["start"])
-        moved = [F.when(x["priority"] <= k, F.greatest(state[n], end)).otherwise(state[n]).alias(n) for k, n in enumerate(edge)]
-        return F.struct(*moved, F.concat(state["out"], F.array(F.struct(x.alias("x"), gone.alias("gone")))).alias("out"))
-
-    def backward(state: Column, y: Column) -> Column:
-        x = y["x"]
-        gone = y["gone"] | (pick(state, x["priority"] - 1) < -x["back"])
-        moved = [F.when(x["priority"] <= k, F.least(state[n], x["start"])).otherwise(state[n]).alias(n) for k, n in enumerate(edge)]
-        kept = F.when(gone, F.array().cast(_FOUND)).otherwise(F.array(x))
-        return F.struct(*moved, F.concat(state["out"], kept).alias("out"))
-
-    judged = F.aggregate(
-        spans, F.struct(*[F.lit(-1).alias(n) for n in edge], F.array().cast(f"array<struct<x:{_FOUND[6:-1]},gone:boolean>>").alias("out")),
-        forward, lambda s: s["out"])
-    return F.aggregate(
-        F.reverse(judged), F.struct(*[F.lit(2**31 - 1).alias(n) for n in edge], F.array().cast(_FOUND).alias("out")),
-        backward, lambda s: F.reverse(s["out"]))
+    return uncontested(spans, range(1, levels + 1), contained=True)
 
 
 def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
