@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,3 +126,9 @@ def mixed(values: np.ndarray) -> np.ndarray:
     x *= _B
     x ^= x >> np.uint64(31)
     return x
+
+
+def free_name(columns: Iterable[str]) -> str:
+    """A column name that is not among ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in map("_own{}".format, itertools.count()) if n not in taken)

@@ -30,7 +30,7 @@ MARGIN = 0.005          # least gap to the runner-up, as a share of its bytes
 SHORT = 160             # bytes of a text that is measured in bits if its languages are tied
 LEAST_MATCH = 3         # bytes of a match in that measure
 MATCH_BITS = 4          # of a match besides its distance; a byte without a match takes eight
-MOST_LANGUAGES = 300
+GROUP = 64              # languages whose coders a worker holds at once; more are taken group after group
 NO_LANGUAGE = "und"
 
 _OUT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -49,18 +49,15 @@ def learned(docs: DataFrame, sample: int = SAMPLE_TEXTS) -> Model:
 
     The sample is bounded: ``sample`` distinct texts a language, those with the smallest hashes. Rows
     are thinned by that hash before anything is gathered, by the number of distinct hashes of their
-    language; copies of one text count once.
+    language; copies of one text count once. Any number of languages: the model, about 50 KB for each, is
+    what the driver gathers and the tasks are sent.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(
         F.col("lang").alias("_lang"), F.col("text").alias("_text"), F.xxhash64("text").alias("_hash"))
-    counts = rows.groupBy("_lang").agg(F.approx_count_distinct("_hash").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["_lang"]), F.lit(min(1.0, 8 * sample / max(1, r["n"]))))])
-    thin = rows.where(F.pmod("_hash", F.lit(1 << 20)) < share[F.col("_lang")] * (1 << 20))
+    counts = rows.groupBy("_lang").agg(F.approx_count_distinct("_hash").alias("_n"))
+    thin = rows.join(F.broadcast(counts), "_lang").where(      # one number a language: far smaller than the model
+        F.pmod("_hash", F.lit(1 << 20)) < F.least(F.lit(1.0), 8 * sample / F.greatest(F.lit(1), "_n")) * (1 << 20))
     place = F.pmod(F.shiftright("_hash", 20), F.greatest(F.lit(1), F.length("_text") - SAMPLE_CHARS + 1)) + 1
     pieces = thin.withColumn("_piece", F.substring("_text", place.cast("int"), F.lit(SAMPLE_CHARS)))
     distinct = pieces.groupBy("_lang", "_hash").agg(F.min("_piece").alias("_piece"))
@@ -95,27 +92,45 @@ class Classifier:
     def __init__(self, model: Model):
         self.model = model
         self.languages = sorted(model)
-        self.coders = []
-        for lang in self.languages:
-            words = zstandard.ZstdCompressionDict(model[lang].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False))
-
-    def sizes(self, text: str) -> np.ndarray:
-        data = f" {text.lower()}".encode()
-        chunks = [data[i:i + CHUNK] for i in range(0, len(data), CHUNK)]
-        return np.array([sum(len(c.compress(x)) for x in chunks) for c in self.coders])
+        self.groups = [self.languages[i:i + GROUP] for i in range(0, len(self.languages), GROUP)]
+        self.held: tuple[int, list[zstandard.ZstdCompressor]] = (-1, [])
+
+    def _coders(self, group: int) -> list[zstandard.ZstdCompressor]:
+        if self.held[0] != group:
+            self.held = (group, [])             # the group before is let go first
+            for lang in self.groups[group]:
+                words = zstandard.ZstdCompressionDict(self.model[lang].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                words.precompute_compress(level=LEVEL)
+                self.held[1].append(zstandard.ZstdCompressor(
+                    level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False))
+        return self.held[1]
+
+    def sizes(self, *texts: str) -> np.ndarray:
+        """Bytes of every text (rows) with the dictionary of every language (columns)."""
+        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        for group in range(len(self.groups)):
+            coders = self._coders(group)
+            for n, text in enumerate(texts):
+                data = f" {text.lower()}".encode()
+                chunks = [data[i:i + CHUNK] for i in range(0, len(data), CHUNK)]
+                out[n, group * GROUP:group * GROUP + len(coders)] = [sum(len(c.compress(x)) for x in chunks) for c in coders]
+        return out
 
     def __call__(self, text: str | None, margin: float = MARGIN) -> tuple[str, float, bool]:
         """Language, gap to the runner-up from 0 to 1, whether it is rejected."""
-        if not self.languages or text is None or not any(map(str.isalpha, text)):
-            return NO_LANGUAGE, 0.0, True
-        best, gap = self._least(self.sizes(text))
-        data = f" {text.lower()} ".encode()
-        if gap < margin and len(data) <= SHORT:
-            best, gap = self._least(np.array([parsed_bits(data, self.model[lang]) for lang in self.languages]))
-        return self.languages[best], gap, gap < margin
+        return self.every([text], margin)[0]
+
+    def every(self, texts: list[str | None], margin: float = MARGIN) -> list[tuple[str, float, bool]]:
+        """The same for many texts at once."""
+        known = [n for n, t in enumerate(texts) if self.languages and t is not None and any(map(str.isalpha, t))]
+        out = [(NO_LANGUAGE, 0.0, True)] * len(texts)
+        for n, sizes in zip(known, self.sizes(*[texts[n] for n in known])):
+            best, gap = self._least(sizes)
+            data = f" {texts[n].lower()} ".encode()
+            if gap < margin and len(data) <= SHORT:
+                best, gap = self._least(np.array([parsed_bits(data, self.model[lang]) for lang in self.languages]))
+            out[n] = (self.languages[best], gap, gap < margin)
+        return out
 
     @staticmethod
     def _least(sizes: np.ndarray) -> tuple[int, float]:
@@ -134,7 +149,7 @@ def identified(docs: DataFrame, model: Model, margin: float = MARGIN, modulus: i
         classify = Classifier(model)
         for batch in batches:
             for part in text_slices(batch):
-                found = [classify(t, margin) for t in part.column("text").to_pylist()]
+                found = classify.every(part.column("text").to_pylist(), margin)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array([f[0] for f in found], pa.string()),
                      pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], names=_NAMES)
@@ -153,7 +168,7 @@ def accepted(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame
         classify = Classifier(model)
         for batch in batches:
             for part in text_slices(batch):
-                fine = [not classify(t, margin)[2] for t in part.column("text").to_pylist()]
+                fine = [not f[2] for f in classify.every(part.column("text").to_pylist(), margin)]
                 yield part.filter(pa.array(fine, pa.bool_()))
             released()
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvest.llm.common import Words, bounded_batches, mixed, released, text_slices
+from harvest.llm.common import Words, bounded_batches, free_name, mixed, released, text_slices
 from harvest.llm.components import components
 from harvest.session import cut_lineage
 
@@ -278,10 +278,10 @@ def without_copies(docs: DataFrame) -> DataFrame:
     without id stay. Only ids are shuffled: rows are dropped by an anti join with the ids to drop, and
     the few rows of repeated ids are ordered among themselves.
     """
-    groups = cut_lineage(near_duplicates(docs))
-    drop = groups.where("NOT kept").select(F.col("doc_id").alias("_drop")).distinct()
-    repeated = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_twice"))
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(drop.select(F.col("_drop").alias("class_id"))))
+    groups, own = cut_lineage(near_duplicates(docs)), free_name(docs.columns)
+    drop = groups.where("NOT kept").select(F.col("doc_id").alias(own)).distinct()
+    repeated = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(own))
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(drop.select(F.col(own).alias("class_id"))))
 
     def only(marked: bool) -> DataFrame:
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,10 +295,10 @@ def without_copies(docs: DataFrame) -> DataFrame:
         return docs.mapInArrow(choose, docs.schema)
 
     doubtful = only(True)                   # rows to drop, and the few that share a mark with one
-    rows = only(False).unionByName(doubtful.join(drop, doubtful["doc_id"] == F.col("_drop"), "left_anti"))
+    rows = only(False).unionByName(doubtful.join(drop, doubtful["doc_id"] == drop[own], "left_anti"))
     if repeated.isEmpty():
         return rows
-    once = rows.join(repeated, rows["doc_id"] == F.col("_twice"), "left_anti")
-    twice = rows.join(repeated, rows["doc_id"] == F.col("_twice"), "left_semi")
+    once = rows.join(repeated, rows["doc_id"] == repeated[own], "left_anti")
+    twice = rows.join(repeated, rows["doc_id"] == repeated[own], "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[c for c, t in docs.dtypes if "map" not in t]))
-    return once.unionByName(twice.withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_at"))
+    return once.unionByName(twice.withColumn(own, F.row_number().over(first)).where(F.col(own) == 1).drop(own))

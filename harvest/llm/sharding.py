@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harvest.llm.common import free_name
+
 TABLE_SIZE = 65_537         # prime; a hundred slots or more for each of up to 650 shards
 LARGEST_TABLE = 4_000_000   # the table is sent to every task: at most this many rows of 12 bytes
 
@@ -68,9 +70,10 @@ def place(df: DataFrame, shards: Sequence[str], keys: Sequence[str] = ("doc_id",
     share a shard; null keys: see ``slot_of``. An empty table gives an empty one.
     """
     rows = df.withColumn(slot, slot_of(keys, [c for c, kind in df.dtypes if "map" not in kind], size))
-    table = F.broadcast(table_frame(df.sparkSession, shards, size).select(
-        F.col("_slot").alias("__slot"), F.col("_shard").alias("__shard")))
-    return rows.join(table, rows[slot] == table["__slot"], "left").drop("__slot").withColumn(shard, F.col("__shard")).drop("__shard")
+    at = free_name([*df.columns, slot, shard])
+    found = free_name([*df.columns, slot, shard, at])
+    table = F.broadcast(table_frame(df.sparkSession, shards, size).select(F.col("_slot").alias(at), F.col("_shard").alias(found)))
+    return rows.join(table, rows[slot] == table[at], "left").drop(at).withColumn(shard, F.col(found)).drop(found)
 
 
 def write_shards(df: DataFrame, path: str, shards: Sequence[str], keys: Sequence[str] = ("doc_id",),

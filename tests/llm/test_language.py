@@ -30,7 +30,7 @@ def test_held_out_texts_are_told_apart(spark, make):
 def test_the_smallest_sum_of_chunks_wins(spark, make):
     classify = Classifier(learned(make(rows())))
     text = prose(random.Random(9), "bb", 900)
-    sizes = classify.sizes(text)
+    sizes = classify.sizes(text)[0]
     lang, gap, rejected = classify(text)
     best, second = sorted(sizes)[:2]
     assert lang == classify.languages[int(sizes.argmin())] == "bb" and abs(gap - (1 - best / second)) < 1e-12 and not rejected
@@ -76,3 +76,14 @@ def test_copies_do_not_thin_the_sample(spark, make):
     texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(5)) for _ in range(40)]
     model = learned(make([(i, texts[i % 40], "aa") for i in range(8_000)]), sample=20)
     assert len(model["aa"].split()) == 20 * 5
+
+
+def test_four_hundred_languages(spark, make):
+    """More languages than a worker holds coders of: each is learned, and told from the others."""
+    rng = random.Random(8)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(30)] for k in range(400)}
+    docs = [(i, " ".join(rng.choices(words[lang], k=60)), lang) for i, lang in enumerate(sorted(words) * 3)]
+    model = learned(make(docs))
+    assert set(model) == set(words)
+    got = {r.doc_id: r for r in identified(make([(i, " ".join(rng.choices(words[lang], k=60))) for i, lang in enumerate(sorted(words))]), model).collect()}
+    assert all(got[i].lang_pred == lang and not got[i].rejected for i, lang in enumerate(sorted(words)))

@@ -31,7 +31,32 @@ def test_stages_survive_awkward_tables(spark, awkward, tmp_path):
     for docs in (awkward, awkward.limit(0)):
         for name, stage in pipeline.STAGES:
             out = cut_lineage(stage(spark, docs, str(tmp_path)))
-            assert out.count() >= 0 and (name == "packing" or out.columns == docs.columns)
+            ids = sorted((r.doc_id for r in out.select("doc_id").collect()), key=str)
+            given = sorted((r.doc_id for r in docs.select("doc_id").collect()), key=str)
+            if name == "packing":                           # pieces of every row, all ids of each in one piece or more
+                assert set(ids) == set(given)
+            elif name == "language":                        # what is left after refusals, nothing else
+                assert out.columns == docs.columns and set(ids) <= set(given) and out.exceptAll(docs).count() == 0
+            elif name == "near_duplicates":                 # of the repeated id 5, a copy of 4, no row stays
+                assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
+                assert set(given) - set(ids) == ({5} if given else set()) and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+            else:                                           # no benchmark passage in them: all rows stay
+                assert out.columns == docs.columns and ids == given
+
+
+def test_own_names_of_the_stages_may_clash(spark, make):
+    """Columns that are named as the operators name theirs stay as they are."""
+    from pyspark.sql import functions as F
+
+    from harvest.llm.sharding import place
+
+    names = ["_drop", "_twice", "_at", "_own0", "_OWN1", "__slot", "__shard", "_row", "_text", "_new", "_spans", "_every", "base", "found"]
+    text = "these are some words that come again and again in one text"
+    docs = make([(1, text), (2, text), (3, "other words altogether"), (3, "other words altogether"), (None, "no id")]).withColumns(
+        {n: F.lit(n) for n in names})
+    for out, kept in ((near_duplicates.without_copies(docs), 3), (pii.redacted(docs), 5), (place(docs, ["a", "b"]), 5)):
+        rows = out.collect()
+        assert len(rows) == kept and all(r[n] == n for r in rows for n in names) and set(docs.columns) <= set(out.columns)
 
 
 def test_run_is_registered(spark):
