@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,11 +14,19 @@ from harvest.operators.extract import data_items, extract_links, page_items
 
 
 def read_stream(spark: SparkSession, folder: str, name: str = "*.parquet", files: int = 100) -> DataFrame:
-    """Parquet files of a folder as they appear."""
-    one = spark.read.option("pathGlobFilter", name).parquet(folder)
-    return (
-        spark.readStream.schema(one.schema).option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files).parquet(folder))
+    """Parquet files of a folder as they appear; a ``name`` that is itself a folder of files is read as that folder."""
+    def named(reader):
+        return reader.option("pathGlobFilter", name)
+
+    path = folder
+    try:
+        one = named(spark.read).parquet(folder)
+    except AnalysisException as problem:
+        if problem.getCondition() != "UNABLE_TO_INFER_SCHEMA":      # no such file
+            raise
+        path, named = f"{folder}/{name}", lambda reader: reader
+        one = spark.read.parquet(path)
+    return named(spark.readStream).schema(one.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def write_stream(stream: DataFrame, folder: str) -> StreamingQuery:
