@@ -129,7 +129,9 @@ SELECT url AS page_url, {_tag_count('a ')} AS a, {_tag_count('li>')} AS li, {_ta
 FROM pages""")
 def _(t):
     count = lambda tag: F.count_if(F.col("tag") == tag).alias(tag)
-    return E.html_nodes(t.pages).groupBy("page_url").agg(*map(count, ("a", "li", "p", "br", "h1", "div")))
+    nodes = E.html_nodes(t.pages, "page_id")        # pages may share an address
+    return nodes.groupBy("page_id", "page_url").agg(
+        *map(count, ("a", "li", "p", "br", "h1", "div"))).drop("page_id")
 
 
 @check("select_nodes", f"""
@@ -171,9 +173,9 @@ def _(t):
 @check("tag_signature", f"""
 SELECT url AS page_url, {_tag_count('div class="ad"')} AS ads, {_tag_count('article>')} AS articles FROM pages""")
 def _(t):
-    return D.tag_signatures(t.pages).groupBy("page_url").agg(
+    return D.tag_signatures(t.pages, "page_id").groupBy("page_id", "page_url").agg(
         F.count_if(F.col("signature") == "div.ad").alias("ads"),
-        F.count_if(F.col("selector") == "article").alias("articles"))
+        F.count_if(F.col("selector") == "article").alias("articles")).drop("page_id")
 
 
 @check("link_groups", f"SELECT url AS page_url, 'li' AS signature, len({_HREFS}) AS links FROM pages WHERE len({_HREFS}) > 0")

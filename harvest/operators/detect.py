@@ -87,10 +87,10 @@ def dense_content(nodes: Column) -> Column:
     return F.array_max(scored)["selector"]
 
 
-def _by_page(pages: DataFrame, **columns) -> DataFrame:
-    parsed = pages.select(F.col("url").alias("page_url"), parse_page("html").alias("page"))
+def _by_page(pages: DataFrame, *keep: str, **columns) -> DataFrame:
+    parsed = pages.select(*keep, F.col("url").alias("page_url"), parse_page("html").alias("page"))
     nodes = F.col("page.nodes")
-    return parsed.select("page_url", *[make(nodes).alias(name) for name, make in columns.items()])
+    return parsed.select(*keep, "page_url", *[make(nodes).alias(name) for name, make in columns.items()])
 
 
 def detect_title(pages: DataFrame) -> DataFrame:
@@ -109,11 +109,11 @@ def detect_content_density(pages: DataFrame) -> DataFrame:
     return _by_page(pages, content_selector=dense_content)
 
 
-def tag_signatures(pages: DataFrame) -> DataFrame:
-    """Signature and selector of every element."""
-    return _by_page(pages, nodes=lambda nodes: nodes).select(
-        "page_url", F.explode_outer("nodes").alias("n")).filter(F.col("n").isNotNull()).select(
-        "page_url", "n.ord", signature(F.col("n")).alias("signature"),
+def tag_signatures(pages: DataFrame, *keep: str) -> DataFrame:
+    """Signature and selector of every element, with the columns ``keep`` of its page."""
+    return _by_page(pages, *keep, nodes=lambda nodes: nodes).select(
+        *keep, "page_url", F.explode_outer("nodes").alias("n")).filter(F.col("n").isNotNull()).select(
+        *keep, "page_url", "n.ord", signature(F.col("n")).alias("signature"),
         tag_selector(F.col("n")).alias("selector"))
 
 

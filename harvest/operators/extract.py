@@ -18,14 +18,15 @@ ITEM_COLUMNS = [
 CONTENT_LIMIT = 10_000
 
 
-def html_nodes(pages: DataFrame) -> DataFrame:
-    """One row per element of every page, in document order by ``ord``.
+def html_nodes(pages: DataFrame, *keep: str) -> DataFrame:
+    """One row per element of every page, in document order by ``ord``; ``keep`` names columns of the
+    page that go with it, such as an id where pages share an address.
 
     The outer form with a filter behind it: for the plain form the optimizer would test the list
     for emptiness below, which means parsing every page a second time.
     """
-    return pages.select(F.col("url").alias("page_url"), parse_page("html").alias("page")).select(
-        "page_url", F.inline_outer("page.nodes")).filter(F.col("ord").isNotNull())
+    return pages.select(*keep, F.col("url").alias("page_url"), parse_page("html").alias("page")).select(
+        *keep, "page_url", F.inline_outer("page.nodes")).filter(F.col("ord").isNotNull())
 
 
 def select_nodes(pages: DataFrame, selector: str) -> DataFrame:

@@ -25,3 +25,30 @@ def test_a_table_that_is_a_folder_of_files_is_streamed_whole(spark, tmp_path):
     want = {f"https://a.test/{n}" for n in range(100)}
     assert records.count() == 100 and {r.url for r in records.filter("title = 'T'").collect()} == want
     assert links.count() == 100 and {r.page_url for r in links.collect()} == want
+
+
+def shared(spark):
+    return as_pages(spark.createDataFrame([
+        (1, "https://a.test/", "<p>x</p><p>y</p>"), (2, "https://a.test/", '<div class="ad"><p>z</p></div>')],
+        "page_id long, url string, html string"))
+
+
+def counted(rows):
+    return sorted((r.page_id, r["count"]) for r in rows.groupBy("page_id", "page_url").count().collect())
+
+
+def test_nodes_of_pages_that_share_an_address_are_told_apart(spark):
+    assert counted(E.html_nodes(shared(spark), "page_id")) == [(1, 2), (2, 2)]
+    assert "page_id" not in E.html_nodes(shared(spark)).columns
+
+
+def test_signatures_of_pages_that_share_an_address_are_told_apart(spark):
+    assert counted(D.tag_signatures(shared(spark), "page_id")) == [(1, 2), (2, 2)]
+
+
+def test_registered_counts_are_those_of_pages_not_of_addresses(spark, tmp_path):
+    from checks import QUERIES
+
+    shared(spark).select("page_id", "url", "html").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(r.p for r in QUERIES["html_nodes"](spark, str(tmp_path)).collect()) == [1, 2]
+    assert sorted(r.ads for r in QUERIES["tag_signature"](spark, str(tmp_path)).collect()) == [0, 1]
