@@ -27,6 +27,10 @@ PASSES_PER_PARSE = 16
 PAGES_PER_ROUND_AND_CORE = 2_000
 # Pairs of selectors asked of one parse; a site that uses more is parsed once for each such part.
 SELECTORS_PER_PARSE = 64
+# Pages that one row lists of a walk.
+BLOCK = 256
+# Pairs of selectors, of all sites together, that are sent to the pages instead of shuffling them.
+PAIRS_SENT = 100_000
 
 
 def http_error(status: Column, url: Column) -> Column:
@@ -108,22 +112,100 @@ def paginate(starts: DataFrame, next_links: DataFrame, max_pages: int | None = N
     """Pages visited from each start: ``start, page_no, url``.
 
     ``starts``: ``start``; ``next_links``: ``page_url, next_url``, at most one per page. A walk
-    ends where no next link is, at a page it has visited, or after ``max_pages``. Jumps double
-    each round, so a chain of n pages takes log2(n) joins. A walk in a next-link table can only
-    repeat its first pages in order, so keeping the smallest number per page removes loops.
+    ends where no next link is, at a page it has visited, or after ``max_pages``.
+
+    The visits of all starts may be many more than the links, so only links and heads of blocks go
+    through shuffles: the length of every walk comes first, then each page lists the pages reached
+    from it by 0, 1, ... steps of a block's size, for sizes falling to one. The visits are unfolded
+    from those lists where they are read; nothing of their number is stored or shuffled.
+    """
+    begun = starts.select("start").distinct()
+    if max_pages is not None and max_pages <= BLOCK:
+        return _paginate_few(begun, next_links, max_pages)
+    begun = cut_lineage(begun)
+    links = cut_lineage(next_links.filter("next_url IS NOT NULL").select(
+        F.col("page_url").alias("at"), F.col("next_url").alias("to")))
+    sizes = begun.join(_walk_sizes(links).withColumnRenamed("at", "start"), "start", "left")
+    size = F.coalesce("size", F.lit(1).cast("long"))
+    sizes = cut_lineage(sizes.withColumn("size", size if max_pages is None else F.least(size, F.lit(max_pages))))
+    longest = sizes.agg(F.max("size")).first()[0] or 0
+    ends = links.select(F.col("to").alias("at")).distinct().join(links, "at", "left_anti")
+    state = links.unionByName(ends.withColumn("to", F.lit(None).cast("string")))
+    levels, unit = [], 1
+    while unit < longest:
+        state = state.select("at", F.array("at").alias("list"), "to")
+        length = 1
+        while length < BLOCK and unit * length < longest:
+            onward = state.select(F.col("at").alias("to"), F.col("list").alias("more"), F.col("to").alias("then"))
+            state = cut_lineage(state.join(onward, "to", "left").select(
+                "at", F.concat("list", F.coalesce("more", F.array().cast("array<string>"))).alias("list"), F.col("then").alias("to")))
+            length *= 2
+        levels.append((unit, state))
+        unit *= length
+    walked = sizes.select("start", "size", F.lit(0).cast("long").alias("page_no"), F.col("start").alias("url"))
+    for unit, state in reversed(levels):
+        steps = F.posexplode(F.coalesce("list", F.array("url"))).alias("pos", "reached")
+        walked = walked.join(state.select(F.col("at").alias("url"), "list"), "url", "left").select(
+            "start", "size", "page_no", steps).select(
+            "start", "size", (F.col("page_no") + F.col("pos") * unit).alias("page_no"), F.col("reached").alias("url")).filter("page_no < size")
+    return walked.select("start", F.col("page_no").cast("int").alias("page_no"), "url")
+
+
+def _jumped(links: DataFrame) -> DataFrame:
+    """``at, to, steps, open`` of links ``at, to``: where each walk ends and after how many steps.
+
+    Jumps double each round. A walk of as many steps as there are links is in a loop: it stays ``open``
+    and ``to`` is a page of the loop; every page of the loop is the ``to`` of such a walk.
     """
+    state = links.select("at", "to", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open"))
+    reach, total = 1, links.count()
+    while True:
+        onward = state.select(F.col("at").alias("to"), F.col("to").alias("then"), F.col("steps").alias("more"))
+        joined = state.join(onward, "to", "left")
+        if reach >= total:
+            return cut_lineage(joined.select("at", "to", "steps", F.col("then").isNotNull().alias("open")))
+        state = cut_lineage(joined.select(
+            "at", F.coalesce("then", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.col("then").isNotNull().alias("open")))
+        if state.filter("open").isEmpty():
+            return state
+        reach *= 2
+
+
+def _walk_sizes(links: DataFrame) -> DataFrame:
+    """``at, size``: number of different pages on the walk from each page with a link."""
+    walks = _jumped(links)
+    ended = walks.filter("NOT open").select("at", (F.col("steps") + 1).alias("size"))
+    looping = walks.filter("open")
+    if looping.isEmpty():
+        return ended
+    loops = cut_lineage(looping.select(F.col("to").alias("at")).distinct())
+    ring = cut_lineage(links.join(loops, "at", "left_semi").withColumn("low", F.col("at")))
+    reach, total = 1, ring.count()
+    while reach < total:        # the smallest address of a loop names it
+        onward = ring.select(F.col("at").alias("to"), F.col("to").alias("then"), F.col("low").alias("lower"))
+        ring = cut_lineage(ring.join(onward, "to").select("at", F.col("then").alias("to"), F.least("low", "lower").alias("low")))
+        reach *= 2
+    ring = cut_lineage(ring.join(ring.groupBy("low").agg(F.count("*").alias("size")), "low").select("at", "size"))
+    ways = links.join(looping.select("at"), "at", "left_semi").join(loops, "at", "left_anti")
+    tails = _jumped(cut_lineage(ways)).select("at", "to", "steps").join(
+        ring.withColumnRenamed("at", "to"), "to").select("at", (F.col("steps") + F.col("size")).alias("size"))
+    return ended.unionByName(ring).unionByName(tails)
+
+
+def _paginate_few(starts: DataFrame, next_links: DataFrame, max_pages: int) -> DataFrame:
+    """The same for few pages a walk. Jumps double each round; a walk in a next-link table can only
+    repeat its first pages in order, so keeping the smallest number per page removes loops."""
     walked = cut_lineage(
-        starts.select("start").distinct()
-        .withColumns({"page_no": F.lit(0), "url": F.col("start")})
-        .filter(F.lit(max_pages is None or max_pages > 0)))
+        starts.withColumns({"page_no": F.lit(0), "url": F.col("start")})
+        .filter(F.lit(max_pages > 0)))
     jumps = next_links.select(F.col("page_url").alias("at"), F.col("next_url").alias("to"))
     reach, size = 1, walked.count()
     while size:
         further = (
             walked.join(jumps, F.col("url") == F.col("at"))
             .select("start", (F.col("page_no") + reach).alias("page_no"), F.col("to").alias("url")))
-        if max_pages is not None:
-            further = further.filter(F.col("page_no") < max_pages)
+        further = further.filter(F.col("page_no") < max_pages)
         walked = cut_lineage(
             walked.unionByName(further).groupBy("start", "url").agg(F.min("page_no").alias("page_no"))
             .select("start", "page_no", "url"))
