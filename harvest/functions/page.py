@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +36,28 @@ def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+# Text characters of pages that lie in Python as lists at once; a batch of many pages is read in such parts.
+PART_CHARS = 1 << 20
+
+
+def _parts(html: pa.Array, limit: int) -> list[tuple[int, int]]:
+    """First and last place (exclusive) of parts of the pages, of about ``limit`` characters or one page."""
+    cuts, held = [0], 0
+    for at, size in enumerate(pc.utf8_length(html).to_pylist()):
+        if held and held + (size or 0) > limit:
+            cuts.append(at)
+            held = 0
+        held += (size or 0) + 1
+    return list(zip(cuts, [*cuts[1:], len(html)]))
+
+
 def _make_parser():
-    tree_of, lists = markup.PageTree, _lists
+    tree_of, lists, parts_of, limit = markup.PageTree, _lists, _parts, PART_CHARS
 
     def parse(html: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part(html.slice(a, b - a)) for a, b in parts_of(html, limit)])
+
+    def part(html: pa.Array) -> pa.Array:
         columns = {name: [] for name in (
             "ord", "last", "parent", "depth", "tag", "id", "str_from", "str_len",
             "text_len", "html_len")}
@@ -83,8 +102,8 @@ def _make_parser():
 
 
 def _make_matcher():
-    tree_of, compiled_of, ordinals_of = (
-        markup.PageTree, markup.compile_selector, markup.match_selector)
+    tree_of, compiled_of, ordinals_of, parts_of, limit = (
+        markup.PageTree, markup.compile_selector, markup.match_selector, _parts, PART_CHARS)
     known: dict = {}            # per Python worker; cleared when it grows
 
     def compiled(selector):
@@ -116,8 +135,9 @@ def _make_matcher():
         kind = pa.list_(pa.struct([
             ("selector", pa.string()), ("error", pa.string()), ("ords", pa.list_(pa.int32())),
             ("hrefs", pa.list_(pa.string())), ("text", pa.string())]))
-        rows = [one_page(h.as_py(), s.as_py() or []) for h, s in zip(html, selectors)]
-        return pa.array(rows, kind)
+        return pa.concat_arrays([
+            pa.array([one_page(h.as_py(), s.as_py() or []) for h, s in zip(html.slice(a, b - a), selectors.slice(a, b - a))], kind)
+            for a, b in parts_of(html, limit)])
 
     return match
 

@@ -1,9 +1,12 @@
 """Work and memory in proportion to the input: walks, whole sites, large batches of pages."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
+from harvest.functions import page as P
 from harvest.operators import frontier as R
 
 
@@ -45,3 +48,19 @@ def test_visits_of_long_walks_are_not_stored(spark, monkeypatch):
                      spark.createDataFrame(list(zip(nodes, nodes[1:])), "page_url string, next_url string"))
     assert got.count() == 400 * 401 // 2
     assert sum(stored) < 400 * 40       # links and lists for each of some twenty rounds, not 80,200 visits
+
+
+def test_a_large_batch_of_pages_is_parsed_in_parts():
+    pages = pa.array(['<ul class="a b">' + '<li><a href="/x" title="t">word</a></li>' * 200 + "</ul>", None] * 400)
+    parse = P._make_parser()
+    parse(pages.slice(0, 2))
+    tracemalloc.start()
+    whole = parse(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20              # several hundred MB as lists of the whole batch
+    assert len(whole) == 800 and [len(r["nodes"]) for r in whole.slice(0, 2).to_pylist()] == [401, 0]
+    assert whole[798].as_py() == whole[0].as_py()
+    match = P._make_matcher()(pages, pa.array([["li a"]] * 800))
+    assert [len(r[0]["hrefs"]) for r in match.to_pylist()] == [200, 0] * 400
+    assert len(parse(pages.slice(0, 0))) == 0
