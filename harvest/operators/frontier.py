@@ -224,11 +224,17 @@ def link_facts(keys: DataFrame, pages: DataFrame) -> DataFrame:
     return facts_of(pages.join(keys, "url").withColumn("pairs", F.array(pair)))
 
 
+def has_reference(html: Column) -> Column:
+    """Whether a page may hold an ``href`` at all; attribute names are written out in every page."""
+    return F.coalesce(F.lower(html).contains("href"), F.lit(False))
+
+
 def facts_of(pages: DataFrame) -> DataFrame:
     """What listing pages hold: ``url, link_selector, next_selector, links, next_url, error``.
 
     ``pairs`` lists the selectors asked of each page; all are answered from one parse, whatever
-    number of tasks asks. The page text ends here: later steps join these narrow rows.
+    number of tasks asks. A page without any reference has no links and is not parsed, its selectors
+    are checked only. The page text ends here: later steps join these narrow rows.
     """
     wanted = F.flatten(F.transform("pairs", lambda p: F.array(p["link_selector"], p["next_selector"])))
     answers = F.transform("pairs", lambda p, i: F.struct(
@@ -236,7 +242,7 @@ def facts_of(pages: DataFrame) -> DataFrame:
         F.get("m", 2 * i).alias("links"), F.get("m", 2 * i + 1).alias("onward")))
     found = (
         pages.withColumn("error", response_error(F.col("url")))
-        .withColumn("m", match_page(F.col("html"), wanted))
+        .withColumn("m", match_page(F.when(has_reference(F.col("html")), F.col("html")), wanted))
         .select("url", "error", F.explode(answers).alias("a")))
     told = found.select(
         "url", "a.link_selector", "a.next_selector",
@@ -272,7 +278,8 @@ def site_of(url: Column) -> Column:
 def site_facts(asked: DataFrame, known: DataFrame, pages: DataFrame) -> DataFrame:
     """Facts of all pages on sites: ``asked`` holds ``_site`` and pairs of selectors.
 
-    Addresses meet the sites without their texts; the texts are joined by ``url`` last.
+    The sites are sent to the pages, which stay where they are. Where these are too many, addresses
+    meet the sites without their texts; the texts are joined by ``url`` last.
     """
     pair = F.struct("link_selector", "next_selector")
     parts = F.greatest(F.ceil(F.count("*") / SELECTORS_PER_PARSE), F.lit(1)).alias("_parts")
@@ -280,8 +287,12 @@ def site_facts(asked: DataFrame, known: DataFrame, pages: DataFrame) -> DataFram
     grouped = cut_lineage(
         numbered.groupBy("_site", F.pmod(F.xxhash64(pair), F.col("_parts")).alias("_part"))
         .agg(F.collect_list(pair).alias("pairs")).drop("_part"))
-    addresses = pages.select("url", site_of(F.col("url")).alias("_site")).join(grouped, "_site").drop("_site")
-    return facts_of(pages.join(addresses, "url")).join(known, LINK_KEY, "left_anti")
+    if asked.count() <= PAIRS_SENT:
+        wanted = pages.withColumn("_site", site_of(F.col("url"))).join(F.broadcast(grouped), "_site").drop("_site")
+    else:
+        addresses = pages.select("url", site_of(F.col("url")).alias("_site")).join(grouped, "_site").drop("_site")
+        wanted = pages.join(addresses, "url")
+    return facts_of(wanted).join(known, LINK_KEY, "left_anti")
 
 
 def walk_known(front: DataFrame, known: DataFrame) -> DataFrame:
@@ -388,12 +399,17 @@ def walk_listings(
             jumping = rounds * round_cost >= site_cost
 
 
-def _costs(front: DataFrame, pages: DataFrame) -> tuple[float, int]:
-    """Cost of one more round and of reading the walks' whole sites, both in parsed pages."""
+def _costs(front: DataFrame, pages: DataFrame) -> tuple[float, float]:
+    """Cost of one more round and of reading the walks' whole sites, both in parsed pages.
+
+    Either is a pass over all pages; of the sites, the pages that hold a reference are parsed.
+    """
     sites = front.select(site_of(F.col("url")).alias("_site")).distinct()
-    on_sites = pages.select(site_of(F.col("url")).alias("_site")).join(sites, "_site", "left_semi")
+    linked = pages.filter(has_reference(F.col("html"))).select(site_of(F.col("url")).alias("_site"))
+    on_sites = linked.join(sites, "_site", "left_semi")
     cores = front.sparkSession.sparkContext.defaultParallelism
-    return (pages.count() / PASSES_PER_PARSE + PAGES_PER_ROUND_AND_CORE * cores, on_sites.count())
+    one_pass = pages.count() / PASSES_PER_PARSE
+    return (one_pass + PAGES_PER_ROUND_AND_CORE * cores, one_pass + on_sites.count())
 
 
 def dedup_urls(requests: DataFrame, key: Callable[[Column], Column] = url_key) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from harvest.functions import page as P
 from harvest.operators import frontier as R
+from harvest.sources.pages import as_pages
 
 
 def serial(starts, onward, most):
@@ -50,6 +51,27 @@ def test_visits_of_long_walks_are_not_stored(spark, monkeypatch):
     assert sum(stored) < 400 * 40       # links and lists for each of some twenty rounds, not 80,200 visits
 
 
+def test_a_long_walk_reads_its_site_before_many_passes(spark, monkeypatch):
+    asked, facts = [], R.link_facts
+    monkeypatch.setattr(R, "link_facts", lambda *a: asked.append(1) or facts(*a))
+    monkeypatch.setattr(R, "PAGES_PER_ROUND_AND_CORE", 0)
+    pages = [(f"https://a.test/l{n}", f'<a class="i" href="/d{n}">d</a><a class="n" href="/l{n + 1}">n</a>') for n in range(30)]
+    pages += [(f"https://a.test/d{n}", "<p>text</p>") for n in range(2_000)]
+    starts = spark.createDataFrame(
+        [("c", 0, [], "https://a.test/l0", ".i", ".n", None)],
+        "crawl_id string, task_ord int, order_key array<int>, url string, link_selector string, next_selector string, max_pages int")
+    visits, known = R.walk_listings(starts, as_pages(spark.createDataFrame(pages, "url string, html string")), "empty")
+    assert visits.count() == 31 and len(asked) <= 6     # sixteen rounds where all pages count as read
+    assert {r.url: len(r.links) for r in known.filter("next_url IS NOT NULL").collect()} == {u: 1 for u, _ in pages[:30]}
+
+
+def test_pages_without_references_keep_their_selector_errors(spark):
+    keys = spark.createDataFrame([("https://a.test/x", "a:hover", "")], "url string, link_selector string, next_selector string")
+    pages = as_pages(spark.createDataFrame([("https://a.test/x", "<p>text</p>")], "url string, html string"))
+    row = R.link_facts(keys, pages).first()
+    assert "unsupported selector" in row.error and row.links in ([], None) and row.next_url is None
+
+
 def test_a_large_batch_of_pages_is_parsed_in_parts():
     pages = pa.array(['<ul class="a b">' + '<li><a href="/x" title="t">word</a></li>' * 200 + "</ul>", None] * 400)
     parse = P._make_parser()
