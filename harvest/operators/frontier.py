@@ -276,10 +276,11 @@ def site_of(url: Column) -> Column:
 
 
 def site_facts(asked: DataFrame, known: DataFrame, pages: DataFrame) -> DataFrame:
-    """Facts of all pages on sites: ``asked`` holds ``_site`` and pairs of selectors.
+    """Facts of the pages on sites that hold a reference: ``asked`` holds ``_site`` and pairs of selectors.
 
-    The sites are sent to the pages, which stay where they are. Where these are too many, addresses
-    meet the sites without their texts; the texts are joined by ``url`` last.
+    The sites are sent to the pages, which are searched where they lie; those with a reference are then
+    dealt evenly by ``url``, as listings often lie together and their parse would fall to few tasks.
+    Where the sites are too many to be sent, addresses meet them without their texts.
     """
     pair = F.struct("link_selector", "next_selector")
     parts = F.greatest(F.ceil(F.count("*") / SELECTORS_PER_PARSE), F.lit(1)).alias("_parts")
@@ -287,11 +288,14 @@ def site_facts(asked: DataFrame, known: DataFrame, pages: DataFrame) -> DataFram
     grouped = cut_lineage(
         numbered.groupBy("_site", F.pmod(F.xxhash64(pair), F.col("_parts")).alias("_part"))
         .agg(F.collect_list(pair).alias("pairs")).drop("_part"))
+    linked = pages.filter(has_reference(F.col("html")))
     if asked.count() <= PAIRS_SENT:
-        wanted = pages.withColumn("_site", site_of(F.col("url"))).join(F.broadcast(grouped), "_site").drop("_site")
+        dealt = linked.withColumn("_site", site_of(F.col("url"))).join(
+            F.broadcast(grouped.select("_site").distinct()), "_site", "left_semi").repartition("url")
+        wanted = dealt.join(F.broadcast(grouped), "_site").drop("_site")
     else:
         addresses = pages.select("url", site_of(F.col("url")).alias("_site")).join(grouped, "_site").drop("_site")
-        wanted = pages.join(addresses, "url")
+        wanted = linked.join(addresses, "url")
     return facts_of(wanted).join(known, LINK_KEY, "left_anti")
 
 

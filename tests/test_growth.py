@@ -5,6 +5,7 @@ import tracemalloc
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from harvest.functions import page as P
 from harvest.operators import frontier as R
@@ -65,6 +66,28 @@ def test_a_long_walk_reads_its_site_before_many_passes(spark, monkeypatch):
     assert {r.url: len(r.links) for r in known.filter("next_url IS NOT NULL").collect()} == {u: 1 for u, _ in pages[:30]}
 
 
+def test_listings_that_lie_together_are_parsed_by_many_tasks(spark, monkeypatch):
+    tasks, facts = [], R.facts_of
+
+    def spread(pages):
+        tasks.append(pages.select(F.spark_partition_id().alias("n")).distinct().count())
+        return facts(pages)
+
+    monkeypatch.setattr(R, "facts_of", spread)
+    pages = [(f"https://a.test/l{n}", f'<a class="i" href="/d{n}">d</a><a class="n" href="/l{n + 1}">n</a>') for n in range(60)]
+    pages += [("https://a.test/text", "<p>text</p>"), ("https://b.test/l0", '<a class="i" href="/d">d</a>')]
+    stored = as_pages(spark.createDataFrame(pages, "url string, html string").coalesce(1))
+    asked = spark.createDataFrame([("https://a.test", ".i", ".n")], "_site string, link_selector string, next_selector string")
+    known = spark.createDataFrame([("https://a.test/l0", ".i", ".n")], "url string, link_selector string, next_selector string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = R.site_facts(asked, known, stored).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks[0] > 3                 # one task where the pages are parsed as they lie
+    assert {r.url: r.next_url for r in rows} == {u: f"https://a.test/l{n + 1}" for n, (u, _) in enumerate(pages[:60]) if n}
+
+
 def test_pages_without_references_keep_their_selector_errors(spark):
     keys = spark.createDataFrame([("https://a.test/x", "a:hover", "")], "url string, link_selector string, next_selector string")
     pages = as_pages(spark.createDataFrame([("https://a.test/x", "<p>text</p>")], "url string, html string"))
