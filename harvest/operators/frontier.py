@@ -31,6 +31,8 @@ SELECTORS_PER_PARSE = 64
 BLOCK = 256
 # Pairs of selectors, of all sites together, that are sent to the pages instead of shuffling them.
 PAIRS_SENT = 100_000
+# Addresses that are sent to the pages instead of searching all texts once more.
+ADDRESSES_SENT = 500_000
 
 
 def http_error(status: Column, url: Column) -> Column:
@@ -275,12 +277,19 @@ def site_of(url: Column) -> Column:
     return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", 0)
 
 
-def site_facts(asked: DataFrame, known: DataFrame, pages: DataFrame) -> DataFrame:
+def linked_addresses(sites: DataFrame, pages: DataFrame) -> DataFrame:
+    """``url, _site`` of the pages on ``sites`` (``_site``) that hold a reference."""
+    linked = pages.filter(has_reference(F.col("html"))).select("url", site_of(F.col("url")).alias("_site"))
+    return linked.join(sites, "_site", "left_semi")
+
+
+def site_facts(asked: DataFrame, known: DataFrame | None, pages: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """Facts of the pages on sites that hold a reference: ``asked`` holds ``_site`` and pairs of selectors.
 
     The sites are sent to the pages, which are searched where they lie; those with a reference are then
     dealt evenly by ``url``, as listings often lie together and their parse would fall to few tasks.
-    Where the sites are too many to be sent, addresses meet them without their texts.
+    ``linked`` (a stored table of :func:`linked_addresses` of these sites), if it is small, is sent instead
+    of searching the texts. Where the sites are too many to be sent, addresses meet them without their texts.
     """
     pair = F.struct("link_selector", "next_selector")
     parts = F.greatest(F.ceil(F.count("*") / SELECTORS_PER_PARSE), F.lit(1)).alias("_parts")
@@ -288,15 +297,20 @@ def site_facts(asked: DataFrame, known: DataFrame, pages: DataFrame) -> DataFram
     grouped = cut_lineage(
         numbered.groupBy("_site", F.pmod(F.xxhash64(pair), F.col("_parts")).alias("_part"))
         .agg(F.collect_list(pair).alias("pairs")).drop("_part"))
-    linked = pages.filter(has_reference(F.col("html")))
+    searched = pages.filter(has_reference(F.col("html")))
     if asked.count() <= PAIRS_SENT:
-        dealt = linked.withColumn("_site", site_of(F.col("url"))).join(
-            F.broadcast(grouped.select("_site").distinct()), "_site", "left_semi").repartition("url")
+        if linked is not None and linked.count() <= ADDRESSES_SENT:
+            here = linked.join(grouped, "_site", "left_semi").select("url")
+            dealt = pages.join(F.broadcast(here), "url", "left_semi").withColumn("_site", site_of(F.col("url"))).repartition("url")
+        else:
+            dealt = searched.withColumn("_site", site_of(F.col("url"))).join(
+                F.broadcast(grouped.select("_site").distinct()), "_site", "left_semi").repartition("url")
         wanted = dealt.join(F.broadcast(grouped), "_site").drop("_site")
     else:
         addresses = pages.select("url", site_of(F.col("url")).alias("_site")).join(grouped, "_site").drop("_site")
-        wanted = linked.join(addresses, "url")
-    return facts_of(wanted).join(known, LINK_KEY, "left_anti")
+        wanted = searched.join(addresses, "url")
+    facts = facts_of(wanted)
+    return facts if known is None else facts.join(known, LINK_KEY, "left_anti")
 
 
 def walk_known(front: DataFrame, known: DataFrame) -> DataFrame:
@@ -349,12 +363,8 @@ def walk_listings(
         .filter("max_pages IS NULL OR max_pages > 0").select(shape))
     facts, visits, sites, rounds = _Pieces(), _Pieces(), _Pieces(), 0
     jumping = page_rounds == 0
-    round_cost = site_cost = None
+    round_cost = site_cost = weighed = linked = None
     while True:
-        keys = front.select(*LINK_KEY).distinct()
-        if facts.parts:
-            keys = keys.join(facts.all(), LINK_KEY, "left_anti")
-        known = facts.add(cut_lineage(link_facts(keys, pages)))
         ahead = jumping
         if ahead:
             asked = front.select(
@@ -363,8 +373,15 @@ def walk_listings(
                 asked = asked.join(sites.all(), ["_site", "link_selector", "next_selector"], "left_anti")
             asked = cut_lineage(asked)
             if not asked.isEmpty():
-                known = facts.add(cut_lineage(site_facts(asked, known, pages)))
+                told = weighed is not None and asked.join(weighed, "_site", "left_anti").isEmpty()
+                facts.add(cut_lineage(site_facts(asked, facts.all() if facts.parts else None, pages, linked if told else None)))
                 sites.add(asked)
+        keys = front.select(*LINK_KEY).distinct()
+        if facts.parts:
+            keys = keys.join(facts.all(), LINK_KEY, "left_anti")
+        if ahead:       # reading the sites has mostly answered the standing pages too: no pass for none
+            keys = cut_lineage(keys)
+        known = facts.all() if ahead and facts.parts and keys.isEmpty() else facts.add(cut_lineage(link_facts(keys, pages)))
         walked = front
         if ahead:
             walked = walk_known(front, known)
@@ -399,21 +416,20 @@ def walk_listings(
             jumping = rounds >= page_rounds
         elif not jumping:
             if round_cost is None:
-                round_cost, site_cost = _costs(front, pages)
+                weighed = cut_lineage(front.select(site_of(F.col("url")).alias("_site")).distinct())
+                linked = cut_lineage(linked_addresses(weighed, pages))
+                round_cost, site_cost = _costs(linked, pages)
             jumping = rounds * round_cost >= site_cost
 
 
-def _costs(front: DataFrame, pages: DataFrame) -> tuple[float, float]:
+def _costs(linked: DataFrame, pages: DataFrame) -> tuple[float, float]:
     """Cost of one more round and of reading the walks' whole sites, both in parsed pages.
 
-    Either is a pass over all pages; of the sites, the pages that hold a reference are parsed.
+    Either is a pass over all pages; of the sites, the pages that hold a reference (``linked``) are parsed.
     """
-    sites = front.select(site_of(F.col("url")).alias("_site")).distinct()
-    linked = pages.filter(has_reference(F.col("html"))).select(site_of(F.col("url")).alias("_site"))
-    on_sites = linked.join(sites, "_site", "left_semi")
-    cores = front.sparkSession.sparkContext.defaultParallelism
+    cores = linked.sparkSession.sparkContext.defaultParallelism
     one_pass = pages.count() / PASSES_PER_PARSE
-    return (one_pass + PAGES_PER_ROUND_AND_CORE * cores, one_pass + on_sites.count())
+    return (one_pass + PAGES_PER_ROUND_AND_CORE * cores, one_pass + linked.count())
 
 
 def dedup_urls(requests: DataFrame, key: Callable[[Column], Column] = url_key) -> DataFrame:

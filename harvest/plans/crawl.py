@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvest.functions.page import match_page
@@ -19,6 +19,8 @@ from harvest.session import cut_lineage
 
 
 _AFTER_LISTINGS = 1_000_000     # stage number behind all link levels
+# First requests that Spark keeps per task before it shuffles (its windowGroupLimitThreshold).
+_REACH = 1_000
 
 
 def _prepared(tasks: DataFrame) -> DataFrame:
@@ -94,11 +96,35 @@ def _candidates(
     return ready.join(failures.select(*TASK), TASK, "left_anti"), failures
 
 
+def _within_reach(wanted: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Requests the tasks may come to make, where each is one record; all of a task without such a bound.
+
+    A task holds at most as many keys as its limit allows records. So those below a task take at most the
+    sum of their limits from it, and it ends within its own limit behind them: the requests at places
+    beyond that sum are met by no task, whichever of the others fail.
+    """
+    most = F.when(F.col("levels") == 0, F.lit(1)).otherwise(F.col("max_items")).cast("long")
+    limits = OrderedGroups(tasks.select(*TASK, most.alias("_most")), ["crawl_id"], ["task_ord"], written=True)
+    limits = limits.running("_reach", F.coalesce("_most", F.lit(0).cast("long"))).running(
+        "_free", F.col("_most").isNull().cast("long")).frame()
+    reach = cut_lineage(limits.filter(f"_free = 0 AND _reach BETWEEN 0 AND {_REACH}").select(*TASK, "_reach"))
+    if reach.isEmpty():
+        return wanted
+    place = F.row_number().over(Window.partitionBy(*TASK).orderBy("order_key"))
+    near = wanted.join(F.broadcast(reach), TASK).withColumn("_place", place).filter(
+        f"_place <= {_REACH} AND _place <= _reach")
+    return near.select(wanted.columns).unionByName(wanted.join(F.broadcast(reach), TASK, "left_anti").select(wanted.columns))
+
+
 def _fetched(requests: DataFrame, tasks: DataFrame, pages: DataFrame, missing: str) -> DataFrame:
-    """Pages of the chosen requests, with what extraction needs from their tasks."""
-    asked = requests.select(*TASK, "order_key", "url", "found").join(tasks.select(
+    """Pages of the chosen requests, with what extraction needs from their tasks.
+
+    The requests are stored first: by its estimate alone a join is large, and all page texts would be
+    shuffled to meet a few requests.
+    """
+    asked = cut_lineage(requests.select(*TASK, "order_key", "url", "found").join(tasks.select(
         *TASK, "task_id", "source_id", "line_id", "line_name",
-        "title_selector", "time_selector", "content_selector"), TASK)
+        "title_selector", "time_selector", "content_selector"), TASK))
     return fetch_known(
         asked.filter("found").drop("found"), asked.filter("NOT found").drop("found"), pages, missing)
 
@@ -167,6 +193,8 @@ def crawl(
         TASK).withColumn("key", dedup_key(F.col("url")))
     if dedup_key is not url_key:        # addresses are unique within a task already
         wanted = _first_of_each(wanted, "key")
+    if extractor is None:
+        wanted = _within_reach(wanted, tasks)
     # success or failure of every address, without reading page texts
     wanted = cut_lineage(with_state(wanted, pages, missing).withColumn("weight", F.lit(1).cast("long")))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from harvest.functions import page as P
 from harvest.operators import frontier as R
+from harvest.plans import crawl as C
+from harvest.schemas import EXTRACTORS
 from harvest.sources.pages import as_pages
 
 
@@ -109,3 +111,64 @@ def test_a_large_batch_of_pages_is_parsed_in_parts():
     match = P._make_matcher()(pages, pa.array([["li a"]] * 800))
     assert [len(r[0]["hrefs"]) for r in match.to_pylist()] == [200, 0] * 400
     assert len(parse(pages.slice(0, 0))) == 0
+
+
+def listed_run(spark, count, limits, text="<h1>d</h1>"):
+    """One run of tasks with ``limits`` on one listing of ``count`` links, and the pages."""
+    links = "".join(f'<a class="i" href="/d{n}">d</a>' for n in range(count))
+    pages = [("https://a.test/l", links), *[(f"https://a.test/d{n}", text) for n in range(count)]]
+    values = {"link_selectors": F.array(F.lit(".i")), "title_selector": F.lit("h1")}
+    rules = F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EXTRACTORS.fields])
+    tasks = spark.createDataFrame(list(enumerate(limits)), "task_ord int, max_items int").select(
+        F.lit("c").alias("crawl_id"), F.lit("s").alias("source_id"), "task_ord",
+        *[F.col("task_ord").cast("string").alias(c) for c in ("task_id", "line_id", "line_name")],
+        F.lit("https://a.test/l").alias("url"), "max_items", rules.alias("extractors"), F.lit(True).alias("dedup_enabled"))
+    return tasks, as_pages(C.cut_lineage(spark.createDataFrame(pages, "url string, html string")))
+
+
+def test_page_texts_are_not_shuffled_for_a_few_requests(spark):
+    noise = random.Random(1)
+    tasks, pages = listed_run(spark, 300, [3, 2], f"<h1>d</h1>{noise.randbytes(600).hex()}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64KB")
+    try:
+        items = C.crawl(tasks, pages).items
+        plan = items._jdf.queryExecution().executedPlan().toString()
+        assert items.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_requests_beyond_the_limits_of_a_run_meet_no_page(spark, monkeypatch):
+    met, state = [], C.with_state
+    monkeypatch.setattr(C, "with_state", lambda wanted, *a: met.append(wanted.count()) or state(wanted, *a))
+    result = C.crawl(*listed_run(spark, 300, [3, 2, None, 4]))
+    assert met == [3 + 5 + 300 + 300]           # 1,200 where limits are looked at last
+    assert {r.task_ord: r.item_count for r in result.tasks.collect()} == {0: 3, 1: 2, 2: 295, 3: 0}
+    assert {(r.task_ord, r.url) for r in result.items.filter("task_ord < 2").collect()} == {
+        (n // 3, f"https://a.test/d{n}") for n in range(5)}
+
+
+def test_no_pass_for_pages_that_their_site_answers(spark, monkeypatch):
+    passes, facts = [], R.link_facts
+    monkeypatch.setattr(R, "link_facts", lambda *a: passes.append(1) or facts(*a))
+    pages = [(f"https://a.test/l{n}", f'<a class="i" href="/d{n}">d</a><a class="n" href="/l{n + 1}">n</a>') for n in range(20)]
+    pages[-1] = ("https://a.test/l19", '<a class="i" href="/d19">d</a>')
+    starts = spark.createDataFrame(
+        [("c", 0, [], "https://a.test/l0", ".i", ".n", None)],
+        "crawl_id string, task_ord int, order_key array<int>, url string, link_selector string, next_selector string, max_pages int")
+    visits, known = R.walk_listings(starts, as_pages(spark.createDataFrame(pages, "url string, html string")), "fail", 1)
+    assert {(r.page_no, r.url, r.error) for r in visits.collect()} == {(n, f"https://a.test/l{n}", None) for n in range(20)}
+    assert known.count() == 20 and len(passes) == 1         # two, the second for the page that the site's reading answers
+
+
+def test_sites_are_read_alike_from_known_addresses(spark):
+    pages = as_pages(spark.createDataFrame(
+        [(f"https://{s}.test/{n}", f'<a class="i" HREF="/{n + 1}">d</a>' if n % 2 else "<p>text</p>") for s in "ab" for n in range(9)],
+        "url string, html string"))
+    asked = spark.createDataFrame(
+        [("https://a.test", ".i", ".n"), ("https://a.test", "a", "")], "_site string, link_selector string, next_selector string")
+    linked = R.linked_addresses(spark.createDataFrame([("https://a.test",), ("https://b.test",)], "_site string"), pages)
+    assert linked.count() == 8
+    plain, told = R.site_facts(asked, None, pages), R.site_facts(asked, None, pages, linked)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, told.collect())) and plain.count() == 8
