@@ -298,13 +298,16 @@ def site_facts(asked: DataFrame, known: DataFrame | None, pages: DataFrame, link
         numbered.groupBy("_site", F.pmod(F.xxhash64(pair), F.col("_parts")).alias("_part"))
         .agg(F.collect_list(pair).alias("pairs")).drop("_part"))
     searched = pages.filter(has_reference(F.col("html")))
+    # a number of its own: by their few bytes Spark would put the pages together for fewer tasks than cores
+    spark = pages.sparkSession
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     if asked.count() <= PAIRS_SENT:
         if linked is not None and linked.count() <= ADDRESSES_SENT:
             here = linked.join(grouped, "_site", "left_semi").select("url")
-            dealt = pages.join(F.broadcast(here), "url", "left_semi").withColumn("_site", site_of(F.col("url"))).repartition("url")
+            dealt = pages.join(F.broadcast(here), "url", "left_semi").withColumn("_site", site_of(F.col("url"))).repartition(slots, "url")
         else:
             dealt = searched.withColumn("_site", site_of(F.col("url"))).join(
-                F.broadcast(grouped.select("_site").distinct()), "_site", "left_semi").repartition("url")
+                F.broadcast(grouped.select("_site").distinct()), "_site", "left_semi").repartition(slots, "url")
         wanted = dealt.join(F.broadcast(grouped), "_site").drop("_site")
     else:
         addresses = pages.select("url", site_of(F.col("url")).alias("_site")).join(grouped, "_site").drop("_site")

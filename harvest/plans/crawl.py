@@ -113,7 +113,9 @@ def _within_reach(wanted: DataFrame, tasks: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*TASK).orderBy("order_key"))
     near = wanted.join(F.broadcast(reach), TASK).withColumn("_place", place).filter(
         f"_place <= {_REACH} AND _place <= _reach")
-    return near.select(wanted.columns).unionByName(wanted.join(F.broadcast(reach), TASK, "left_anti").select(wanted.columns))
+    # stored, so that their number is known where they meet the pages
+    return cut_lineage(near.select(wanted.columns).unionByName(
+        wanted.join(F.broadcast(reach), TASK, "left_anti").select(wanted.columns)))
 
 
 def _fetched(requests: DataFrame, tasks: DataFrame, pages: DataFrame, missing: str) -> DataFrame:
@@ -130,7 +132,7 @@ def _fetched(requests: DataFrame, tasks: DataFrame, pages: DataFrame, missing: s
 
 
 def _claimed(wanted: DataFrame, scale: int = 1) -> DataFrame:
-    """Requests the tasks make; ``weight`` counts ``scale`` for a record.
+    """Requests the tasks make out of those ``wanted``, a stored table; ``weight`` counts ``scale`` for a record.
 
     A direct request is made whatever its limit. An address that fails, or whose extraction fails, ends
     its task unless a lower task holds its key; one that can't be fetched holds no key itself.
@@ -139,7 +141,7 @@ def _claimed(wanted: DataFrame, scale: int = 1) -> DataFrame:
     requests = wanted.withColumns({
         "fetch_limit": limit, "weight": F.when(F.col("fetch_error").isNull(), F.col("weight")).otherwise(0),
         "ends": F.col("fetch_error").isNotNull() | F.col("spoilt").isNotNull(), "holds": F.col("fetch_error").isNull()})
-    return cut_lineage(claim_requests(cut_lineage(requests)))
+    return cut_lineage(claim_requests(requests))
 
 
 def _claimed_by_demand(
@@ -161,7 +163,7 @@ def _claimed_by_demand(
         else:
             guess = wanted.drop("weight", "spoilt").join(known, at, "left").withColumns({
                 "told": F.col("records").isNotNull(), "weight": F.coalesce(F.col("records") * scale, F.lit(1).cast("long"))}).drop("records")
-        claims = _claimed(guess, scale)
+        claims = _claimed(cut_lineage(guess), scale)
         asked = cut_lineage(claims.filter("fetch_error IS NULL AND NOT told").select(*at, "url", "found"))
         if records and asked.isEmpty():
             return claims.drop("told"), union_frontiers(*records)

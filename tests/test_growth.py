@@ -172,3 +172,14 @@ def test_sites_are_read_alike_from_known_addresses(spark):
     assert linked.count() == 8
     plain, told = R.site_facts(asked, None, pages), R.site_facts(asked, None, pages, linked)
     assert sorted(map(str, plain.collect())) == sorted(map(str, told.collect())) and plain.count() == 8
+
+
+def test_few_bytes_of_listings_are_parsed_by_all_cores(spark, monkeypatch):
+    parsed, facts = [], R.facts_of
+    monkeypatch.setattr(R, "facts_of", lambda pages: parsed.append(pages) or facts(pages))
+    pages = as_pages(spark.createDataFrame(
+        [(f"https://a.test/l{n}", f'<a class="i" href="/d{n}">d</a>') for n in range(400)], "url string, html string").coalesce(1))
+    asked = spark.createDataFrame([("https://a.test", ".i", "")], "_site string, link_selector string, next_selector string")
+    assert R.site_facts(asked, None, pages).count() == 400
+    tasks = parsed[0].select(F.spark_partition_id().alias("n")).distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism       # one, as Spark coalesces 400 short rows
