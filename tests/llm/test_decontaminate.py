@@ -174,3 +174,61 @@ def test_the_cosine_of_a_passage_does_not_fall_as_the_corpus_grows(spark, make):
         space, (match,) = d.matchers(make([(i, t) for i, t in enumerate(texts * times)]), bench)
         cosines.append(match.found(pa.array([" ".join(words)]), space.value)[0][3])
     assert abs(cosines[1] - cosines[0]) < 0.05
+
+
+def test_the_space_is_fitted_on_every_passage_and_every_item(spark, make):
+    """Words of two passages of one text count, wherever these lie, and so do the words of 9,000 items."""
+    line = " ".join(f"word{k}" for k in range(2_000))
+    items = spark.createDataFrame([(f"own{k} item",) for k in range(9_000)], "text string")
+    space = d.fitted(make([(1, f"{line} {line}"), (2, "a few others"), (3, None)]), items)
+    want = [f"word{k}" for k in range(2_000)] + [f"own{k}" for k in range(9_000)] + ["item"]
+    assert set(space.vocabulary.tolist()) == set(d.hashed(want).tolist())
+
+
+def test_passages_are_whole_and_equal_texts_count_once(spark, make):
+    rng = random.Random(5)
+    texts = [" ".join(prose(rng, n)) + " é漢 É漢 " * (n % 7) for n in (1, 30, 400, 2_500)]
+    got = []
+    for row in d.every_passage(make(list(enumerate([*texts, texts[2], None, "", texts[0]])))).collect():
+        hashes, counts = np.frombuffer(row.hashes, np.uint64), np.frombuffer(row.counts, np.uint32)
+        words = list(zip(hashes[np.frombuffer(row.at, np.uint16)].tolist(), counts.tolist()))
+        ends = np.cumsum(np.frombuffer(row.sizes, np.uint32)).tolist()
+        got += [tuple(sorted(words[a:b])) for a, b in zip([0, *ends], ends)]
+    want = []
+    for text in texts:
+        pieces = {}
+        for m in d._PYTHON_WORD.finditer(text.lower()):
+            pieces.setdefault(m.start() // d.PASSAGE_CHARS, []).append(int(d.hashed([m.group()])[0]))
+        want += [tuple(sorted((w, piece.count(w)) for w in set(piece))) for piece in pieces.values()]
+    assert sorted(got) == sorted(want) and len(want) > 30
+
+
+def test_words_beyond_the_rows_share_some_of_them(spark, make, monkeypatch):
+    """Every word has a row, those of the items one of their own; what is planted is found with few rows too."""
+    monkeypatch.setattr(d, "WORDS", 1_024)
+    monkeypatch.setattr(d, "SHARED", 256)
+    docs, bench, leaks, items, texts = tables(spark, make)
+    space = d.fitted(docs, bench.select("text"))
+    assert 256 < len(space.vocabulary) <= 1_024 and space.vocabulary[:256].tolist() == list(range(256))
+    own = d.numbers_in(space.vocabulary, np.unique(d.hashed([w for i in items for w in d.words_of(i)])))
+    assert own.min() >= 256 and len(set(own.tolist())) == len(own)
+    other = d.numbers_in(space.vocabulary, d.hashed([f"unseen{k}" for k in range(5_000)]))
+    assert other.max() < 256 and len(set(other.tolist())) == 256
+    got = {(r.doc_id, r.item_id) for r in d.leaks(docs, bench).collect()}
+    assert got <= leaks and len(got) >= 0.9 * len(leaks)
+
+
+def test_a_paraphrase_is_removed_whose_topic_lies_deep_in_long_texts(spark, make):
+    """The space learns from all passages of a text: 30 texts hold 300 topics, none of them in a place of its own."""
+    rng = random.Random(7)
+    fields = topics(rng, 300)
+    common = ["".join(rng.choices("aeiou", k=3)) for _ in range(20)]
+    texts = [" ".join(" ".join(rng.choices(fields[(i * 10 + k) % 300], k=450) + rng.choices(common, k=150)) for k in range(10)) for i in range(30)]
+    items, reworded = [], []
+    for k in range(20):
+        answer = rng.choices(common, k=4) + [fields[k][0]]
+        items.append(" ".join(fields[k][1:12]) + ". " + " ".join(answer) + ".")
+        reworded.append(" ".join(fields[k][12:] * 4 + answer + fields[k][12:]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    left = {r.doc_id for r in d.clean(make(list(enumerate(texts + reworded))), bench).collect()}
+    assert len(left & set(range(30, 50))) <= 4 and {i for i in range(30) if i % 30 >= 2} <= left
